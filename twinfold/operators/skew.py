@@ -14,14 +14,15 @@ HEAVY_SHARE = 1 / 1000
 BLOCK = 4096
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFrame, salts: int = 64, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFrame, by: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
     """Equi-join of a skewed ``left`` with ``right``; keys listed in ``heavy`` are spread over ``salts`` tasks.
 
     ``heavy`` holds distinct keys (columns ``on``), at most 1/HEAVY_SHARE of them by construction,
-    which is what makes its broadcast safe. Null keys match nothing. ``how``: inner or left.
+    which is what makes its broadcast safe. Null keys match nothing. ``by``: columns of
+    ``left`` whose hash spreads the rows of one key. ``how``: inner or left.
     """
     mark = F.broadcast(heavy.select(*on).distinct().withColumn("__heavy", F.lit(1)))
-    a = left.join(mark, on, "left").withColumn("__salt", F.when(F.col("__heavy").isNull(), 0).otherwise(F.floor(F.rand(7) * salts).cast("int"))).drop("__heavy")
+    a = left.join(mark, on, "left").withColumn("__salt", F.when(F.col("__heavy").isNull(), 0).otherwise(F.pmod(F.hash(*by), F.lit(salts)))).drop("__heavy")
     b = right.join(mark, on, "left")
     b = b.withColumn("__salt", F.explode(F.when(F.col("__heavy").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop("__heavy")
     return a.join(b, [*on, "__salt"], how).drop("__salt")
