@@ -43,7 +43,7 @@ def copies(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("questi
     rows = rooted(df, id_col, fields)
     sets = collapsed(df, id_col, fields).filter("n_copies > 1")
     heavy = sets.filter(F.col("n_copies") > F.lit(max(1000.0, HEAVY_SHARE * df.count()))).select("root")
-    joined = salted_join(rows, sets.withColumnRenamed("leaves", "kept"), ["root"], heavy)
+    joined = salted_join(rows, sets.withColumnRenamed("leaves", "kept"), ["root"], heavy, ["id"])
     return joined.filter("leaves = kept and id != keep_id").select("keep_id", "id", "n_copies")
 
 
