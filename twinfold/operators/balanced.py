@@ -36,3 +36,4 @@ SQL = {
     "p5_values": f"SELECT field_name, value_key, count(*) AS n_rows FROM ({_KEYED}) GROUP BY 1, 2",
     "p5_found": f"WITH k AS ({_KEYED}), n AS (SELECT field_name, count(*) AS n FROM k GROUP BY 1), c AS (SELECT field_name, value_key, count(*) AS n_rows FROM k GROUP BY 1, 2) SELECT c.field_name, c.value_key FROM c JOIN n USING (field_name) WHERE c.n_rows * 20 >= n.n",
 }
+QUERIES = {"p5_found": p5_found, "p5_values": p5_values}
