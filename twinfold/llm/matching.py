@@ -2,7 +2,7 @@
 
 Shared by the overlap of splits (problem 1) and the near-duplicates (problem 7).
 
-Records are first collapsed into classes of equal bare forms and equal word sets. A class then gives band
+Records are first collapsed into classes of the same words in the same order. A class then gives band
 keys: two questions with at least 7/10 of their words in common share one of each other's
 ``n - ceil(7n/10) + 1`` rarest words, whatever the order of rarity, so two matching classes share a band
 key made of one rare word of either question. Where both words are frequent (more than ``split_above``
@@ -10,7 +10,7 @@ classes), the key takes two words of either question instead, from prefixes one
 two words must be shared. Both are exact; no link is lost and no bucket is capped.
 
 Rarity comes from a table of word counts of fixed size (CELLS cells of one byte). It only sets the order,
-and a count of one proves that a word is in no other class and can't be shared.
+and where it proves that a word is in no other class, the word can't be shared.
 """
 
 from __future__ import annotations
@@ -22,43 +22,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.functions.text import bare, words
+from twinfold.functions.text import GAP
+from twinfold.operators.skew import HEAVY_SHARE, salted_join
 from twinfold.session import cut
 
 CELLS = 1 << 23
+#: Classes that share a word above which it takes two words of either question to make a key.
+SPLIT_ABOVE = 4000
 FULL = 63  # a signature's size field when the set is too large for it: it passes every bound
 BITS = 58
 
 
 def keyed(df: DataFrame, id_col: str, q1: str, q2: str) -> DataFrame:
-    """(id, q1, q2, r1, r2, sk): root (hashes of bare forms, ordered) and hash of the unordered word sets; blank records left out."""
-    b1, b2 = bare(F.col(q1)), bare(F.col(q2))
-    out = df.select(F.col(id_col).cast("long").alias("id"), F.col(q1).alias("q1"), F.col(q2).alias("q2"), b1.alias("b1"), b2.alias("b2"))
-    out = out.filter("b1 != '' and b2 != ''").withColumns({"h1": F.xxhash64("b1"), "h2": F.xxhash64("b2")})
-    sets = [F.xxhash64(F.array_sort(F.array_distinct(words(F.col(c))))) for c in ("q1", "q2")]
-    return out.select("id", "q1", "q2", F.least("h1", "h2").alias("r1"), F.greatest("h1", "h2").alias("r2"), F.xxhash64(F.least(*sets), F.greatest(*sets)).alias("sk"))
+    """(id, t1, t2, r1, r2, k1, k2): the words of both questions, joined by blanks; hashes of the bare forms and of the words, ordered. Blank records are left out."""
+    plain = [F.trim(F.regexp_replace(F.lower(F.col(q)), GAP, " ")).alias(t) for q, t in ((q1, "t1"), (q2, "t2"))]
+    out = df.select(F.col(id_col).cast("long").alias("id"), *plain).filter("t1 != '' and t2 != ''")
+    r, k = ([F.xxhash64(x(t)) for t in ("t1", "t2")] for x in (lambda t: F.replace(F.col(t), F.lit(" "), F.lit("")), F.col))
+    return out.select("id", "t1", "t2", F.least(*r).alias("r1"), F.greatest(*r).alias("r2"), F.least(*k).alias("k1"), F.greatest(*k).alias("k2"))
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(cid, n, q1, q2, r1, r2, sk): one row per class, cid its smallest id. Combined before the shuffle, so copies weigh nothing."""
-    c = rows.groupBy("r1", "r2", "sk").agg(F.min(F.struct("id", "q1", "q2")).alias("m"), F.count("*").alias("n"))
-    return c.select(F.col("m.id").alias("cid"), "n", "m.q1", "m.q2", "r1", "r2", "sk")
+    """(cid, n, t1, t2, r1, r2, k1, k2): one row per class, cid its smallest id. Combined before the shuffle, so copies weigh nothing."""
+    c = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "t1", "t2", "r1", "r2")).alias("m"), F.count("*").alias("n"))
+    return c.select(F.col("m.id").alias("cid"), "n", "m.t1", "m.t2", "m.r1", "m.r2", "k1", "k2")
 
 
 def members(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """(cid, id) of the classes with more than one record."""
-    return rows.select("id", "r1", "r2", "sk").join(reps.filter("n > 1").select("cid", "r1", "r2", "sk"), ["r1", "r2", "sk"]).select("cid", "id")
+    """(cid, id) of the classes with more than one record; a class with many is spread over tasks."""
+    several = reps.filter("n > 1").select("cid", "k1", "k2", "n")
+    heavy = several.filter(F.col("n") > F.lit(max(1000.0, HEAVY_SHARE * reps.count()))).select("k1", "k2")
+    return salted_join(rows.select("id", "k1", "k2"), several, ["k1", "k2"], heavy, ["id"]).select("cid", "id")
 
 
-def hashed(c: Column) -> Column:
-    return F.transform(F.array_distinct(words(c)), lambda w: F.xxhash64(w))
+def words(t: Column) -> Column:
+    """Distinct words of a text as in ``keyed``."""
+    return F.array_distinct(F.split(t, " "))
+
+
+def hashed(t: Column) -> Column:
+    return F.transform(words(t), lambda w: F.xxhash64(w))
 
 
 def word_counts(sets: DataFrame) -> np.ndarray:
-    """One byte for each of CELLS cells: 0 to 15 as counted, above that on a log scale."""
-    cell = F.explode(F.array_distinct(F.concat("h1", "h2")))
-    got = sets.select(cell.alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("c")).count()
-    small = got.select("c", F.when(F.col("count") < 16, F.col("count")).otherwise(F.least(F.lit(255), F.floor(F.log2("count") * 8 - 16))).cast("short").alias("n")).toArrow()
+    """One byte for each of CELLS cells: 1 if each of its words is in one class only, else 2 to 15 as counted, above that on a log scale."""
+    h = F.explode(F.array_distinct(F.concat("h1", "h2")))
+    mark = F.shiftright("h", 40).cast("int")
+    got = sets.select(h.alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("c")).agg(F.count("*").alias("n"), F.min(mark).alias("lo"), F.max(mark).alias("hi"))
+    once = (F.col("n") == 1) | ((F.col("n") == 2) & (F.col("lo") != F.col("hi")))
+    small = got.select("c", F.when(once, 1).when(F.col("n") < 16, F.col("n")).otherwise(F.least(F.lit(255), F.floor(F.log2("n") * 8 - 16))).cast("short").alias("n")).toArrow()
     cells = np.zeros(CELLS, np.uint8)
     cells[small["c"].to_numpy()] = small["n"].to_numpy()
     return cells
@@ -179,14 +190,14 @@ def close(x: Column, y: Column) -> Column:
 
 def with_texts(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Adds the texts of both classes: a1, a2, b1, b2."""
-    l = left.select(F.col("cid").alias("a"), F.col("q1").alias("a1"), F.col("q2").alias("a2"))  # noqa: E741
-    r = right.select(F.col("cid").alias("b"), F.col("q1").alias("b1"), F.col("q2").alias("b2"))
+    l = left.select(F.col("cid").alias("a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))  # noqa: E741
+    r = right.select(F.col("cid").alias("b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
     return pairs.join(l, "a").join(r, "b")
 
 
 def confirmed(texts: DataFrame) -> DataFrame:
     """The pairs that are close by their words, straight or crosswise."""
-    t = texts.select("a", "b", *(F.array_distinct(words(F.col(c))).alias(c) for c in ("a1", "a2", "b1", "b2")))
+    t = texts.select("a", "b", *(words(F.col(c)).alias(c) for c in ("a1", "a2", "b1", "b2")))
     c = {n: F.col(n) for n in ("a1", "a2", "b1", "b2")}
     test = (close(c["a1"], c["b1"]) & close(c["a2"], c["b2"])) | (close(c["a1"], c["b2"]) & close(c["a2"], c["b1"]))
     return t.filter(test).select("a", "b")
@@ -207,10 +218,10 @@ def prepared(df: DataFrame, id_col: str, q1: str = "question1", q2: str = "quest
 
 
 def with_hashes(reps: DataFrame) -> DataFrame:
-    return reps.select("cid", hashed(F.col("q1")).alias("h1"), hashed(F.col("q2")).alias("h2"))
+    return reps.select("cid", hashed(F.col("t1")).alias("h1"), hashed(F.col("t2")).alias("h2"))
 
 
-def spread(pairs: DataFrame, side: str, out: str, rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Replaces the class in ``side`` by all its records, in column ``out``."""
-    m = members(rows, reps).withColumnRenamed("cid", side).withColumnRenamed("id", "__id")
+def spread(pairs: DataFrame, side: str, out: str, m: DataFrame) -> DataFrame:
+    """Replaces the class in ``side`` by all its records, in column ``out``; ``m``: the members of larger classes."""
+    m = m.withColumnRenamed("cid", side).withColumnRenamed("id", "__id")
     return pairs.join(m, side, "left").withColumn(out, F.coalesce("__id", side)).drop("__id", side)

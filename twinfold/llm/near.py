@@ -19,7 +19,6 @@ from twinfold.llm import matching as M
 from twinfold.session import cut
 
 BUCKET_BITS, MANTISSA_BITS = 16, 10
-SPLIT_ABOVE = 1000
 
 
 def registers(h: np.ndarray) -> np.ndarray:
@@ -80,7 +79,7 @@ def estimated(texts: DataFrame) -> DataFrame:
     return given.mapInArrow(run, texts.withColumn("estimate", F.lit(0.0)).schema)
 
 
-def class_pairs(reps: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def class_pairs(reps: DataFrame, split_above: int = M.SPLIT_ABOVE) -> DataFrame:
     """(a, b), a < b: classes that match."""
     sets = M.with_hashes(reps)
     keys = M.band_keys(sets, M.word_counts(sets), split_above, registers)
@@ -88,7 +87,7 @@ def class_pairs(reps: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
     return M.confirmed(estimated(texts)).union(M.same_root(reps, reps, True)).distinct()
 
 
-def matching_pairs(df: DataFrame, id_col: str = "id", q1: str = "question1", q2: str = "question2", split_above: int = SPLIT_ABOVE) -> DataFrame:
+def matching_pairs(df: DataFrame, id_col: str = "id", q1: str = "question1", q2: str = "question2", split_above: int = M.SPLIT_ABOVE) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every two records that match, copies included.
 
     Records with a null, empty or wordless question match nothing. Equal rows under two ids match.
@@ -96,19 +95,19 @@ def matching_pairs(df: DataFrame, id_col: str = "id", q1: str = "question1", q2:
     """
     rows, reps = M.prepared(df, id_col, q1, q2)
     pairs = class_pairs(reps, split_above).withColumnRenamed("a", "ca").withColumnRenamed("b", "cb")
-    between = M.spread(M.spread(pairs, "ca", "x", rows, reps), "cb", "y", rows, reps)
-    m = M.members(rows, reps)
+    m = cut(M.members(rows, reps))
+    between = M.spread(M.spread(pairs, "ca", "x", m), "cb", "y", m)
     inside = m.withColumnRenamed("id", "x").join(m.withColumnRenamed("id", "y"), "cid").filter("x < y").select("x", "y")
     return between.select("x", "y").union(inside).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def class_links(df: DataFrame, id_col: str = "id", q1: str = "question1", q2: str = "question2", split_above: int = SPLIT_ABOVE) -> DataFrame:
+def class_links(df: DataFrame, id_col: str = "id", q1: str = "question1", q2: str = "question2", split_above: int = M.SPLIT_ABOVE) -> DataFrame:
     """(id, class_id, n_copies, n_links): per record its class, the class's size and its number of matching classes."""
     rows, reps = M.prepared(df, id_col, q1, q2)
     pairs = cut(class_pairs(reps, split_above))
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
     per = reps.select("cid", "n").join(ends, "cid", "left")
-    got = M.spread(per.withColumn("class_id", F.col("cid")), "cid", "id", rows, reps)
+    got = M.spread(per.withColumn("class_id", F.col("cid")), "cid", "id", M.members(rows, reps))
     return got.select("id", "class_id", F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

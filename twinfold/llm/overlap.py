@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 
 from twinfold.llm import matching as M
 
-SPLIT_ABOVE = 1000
-
 
 def _same(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def overlaps(train: DataFrame, test: DataFrame, train_id: str = "id", test_id: str = "test_id", q1: str = "question1", q2: str = "question2", split_above: int = SPLIT_ABOVE) -> DataFrame:
+def overlaps(train: DataFrame, test: DataFrame, train_id: str = "id", test_id: str = "test_id", q1: str = "question1", q2: str = "question2", split_above: int = M.SPLIT_ABOVE) -> DataFrame:
     """(id, test_id): every record of ``train`` and of ``test`` that match, copies included.
 
     Records with a null, empty or wordless question match nothing; if either table is empty there are no rows.
@@ -33,7 +31,7 @@ def overlaps(train: DataFrame, test: DataFrame, train_id: str = "id", test_id: s
     found = M.candidates(M.band_keys(ha, cells, split_above, _same), M.band_keys(hb, cells, split_above, _same), False)
     pairs = M.confirmed(M.with_texts(found, a, b)).union(M.same_root(a, b, False)).distinct()
     pairs = pairs.withColumnRenamed("a", "ca").withColumnRenamed("b", "cb")
-    return M.spread(M.spread(pairs, "ca", "id", rows_a, a), "cb", "test_id", rows_b, b).select("id", "test_id")
+    return M.spread(M.spread(pairs, "ca", "id", M.members(rows_a, a)), "cb", "test_id", M.members(rows_b, b)).select("id", "test_id")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
