@@ -33,23 +33,27 @@ FULL = 63  # a signature's size field when the set is too large for it: it passe
 BITS = 58
 
 
+def ordered_hashes(names: tuple[str, str], x: Column, y: Column) -> list[Column]:
+    h = F.xxhash64(x), F.xxhash64(y)
+    return [F.least(*h).alias(names[0]), F.greatest(*h).alias(names[1])]
+
+
 def keyed(df: DataFrame, id_col: str, q1: str, q2: str) -> DataFrame:
-    """(id, t1, t2, r1, r2, k1, k2): the words of both questions, joined by blanks; hashes of the bare forms and of the words, ordered. Blank records are left out."""
+    """(id, t1, t2, k1, k2): the words of both questions, joined by blanks, and their hashes, ordered. Blank records are left out."""
     plain = [F.trim(F.regexp_replace(F.lower(F.col(q)), GAP, " ")).alias(t) for q, t in ((q1, "t1"), (q2, "t2"))]
     out = df.select(F.col(id_col).cast("long").alias("id"), *plain).filter("t1 != '' and t2 != ''")
-    r, k = ([F.xxhash64(x(t)) for t in ("t1", "t2")] for x in (lambda t: F.replace(F.col(t), F.lit(" "), F.lit("")), F.col))
-    return out.select("id", "t1", "t2", F.least(*r).alias("r1"), F.greatest(*r).alias("r2"), F.least(*k).alias("k1"), F.greatest(*k).alias("k2"))
+    return out.select("id", "t1", "t2", *ordered_hashes(("k1", "k2"), F.col("t1"), F.col("t2")))
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(cid, n, t1, t2, r1, r2, k1, k2): one row per class, cid its smallest id. Combined before the shuffle, so copies weigh nothing."""
-    c = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "t1", "t2", "r1", "r2")).alias("m"), F.count("*").alias("n"))
-    return c.select(F.col("m.id").alias("cid"), "n", "m.t1", "m.t2", "m.r1", "m.r2", "k1", "k2")
+    """(cid, n, t1, t2): one row per class, cid its smallest id. Combined before the shuffle, so copies weigh nothing."""
+    c = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "t1", "t2")).alias("m"), F.count("*").alias("n"))
+    return c.select(F.col("m.id").alias("cid"), "n", "m.t1", "m.t2")
 
 
 def members(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """(cid, id) of the classes with more than one record; a class with many is spread over tasks."""
-    several = reps.filter("n > 1").select("cid", "k1", "k2", "n")
+    several = reps.filter("n > 1").select("cid", "n", *ordered_hashes(("k1", "k2"), F.col("t1"), F.col("t2")))
     heavy = several.filter(F.col("n") > F.lit(max(1000.0, HEAVY_SHARE * reps.count()))).select("k1", "k2")
     return salted_join(rows.select("id", "k1", "k2"), several, ["k1", "k2"], heavy, ["id"]).select("cid", "id")
 
@@ -63,12 +67,15 @@ def hashed(t: Column) -> Column:
     return F.transform(words(t), lambda w: F.xxhash64(w))
 
 
-def word_counts(sets: DataFrame) -> np.ndarray:
-    """One byte for each of CELLS cells: 1 if each of its words is in one class only, else 2 to 15 as counted, above that on a log scale."""
+def word_counts(sets: DataFrame, sided: bool = False) -> np.ndarray:
+    """One byte for each of CELLS cells: 1 if none of its words can be shared, else 2 to 15 as counted, above that on a log scale.
+
+    Words can't be shared if each is in one class only, or, ``sided`` (a column ``side`` tells apart two tables that are joined), all in one table.
+    """
     h = F.explode(F.array_distinct(F.concat("h1", "h2")))
     mark = F.shiftright("h", 40).cast("int")
-    got = sets.select(h.alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("c")).agg(F.count("*").alias("n"), F.min(mark).alias("lo"), F.max(mark).alias("hi"))
-    once = (F.col("n") == 1) | ((F.col("n") == 2) & (F.col("lo") != F.col("hi")))
+    got = sets.select(h.alias("h"), (F.col("side") if sided else F.lit(0)).alias("s")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("c")).agg(F.count("*").alias("n"), F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.min("s").alias("s0"), F.max("s").alias("s1"))
+    once = (F.col("n") == 1) | ((F.col("n") == 2) & (F.col("lo") != F.col("hi"))) | (F.col("s0") == F.col("s1") if sided else F.lit(False))
     small = got.select("c", F.when(once, 1).when(F.col("n") < 16, F.col("n")).otherwise(F.least(F.lit(255), F.floor(F.log2("n") * 8 - 16))).cast("short").alias("n")).toArrow()
     cells = np.zeros(CELLS, np.uint8)
     cells[small["c"].to_numpy()] = small["n"].to_numpy()
@@ -204,9 +211,10 @@ def confirmed(texts: DataFrame) -> DataFrame:
 
 
 def same_root(left: DataFrame, right: DataFrame, within: bool) -> DataFrame:
-    """(a, b): classes with equal bare forms."""
-    x = left.select("r1", "r2", F.col("cid").alias("a"))
-    y = right.select("r1", "r2", F.col("cid").alias("b"))
+    """(a, b): classes with equal bare forms, straight or crosswise."""
+    forms = [F.replace(F.col(t), F.lit(" "), F.lit("")) for t in ("t1", "t2")]
+    x = left.select(*ordered_hashes(("r1", "r2"), *forms), F.col("cid").alias("a"))
+    y = right.select(*ordered_hashes(("r1", "r2"), *forms), F.col("cid").alias("b"))
     both = x.join(y, ["r1", "r2"])
     return (both.filter("a < b") if within else both).select("a", "b")
 

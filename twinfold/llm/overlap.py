@@ -27,7 +27,7 @@ def overlaps(train: DataFrame, test: DataFrame, train_id: str = "id", test_id: s
     rows_a, a = M.prepared(train, train_id, q1, q2)
     rows_b, b = M.prepared(test, test_id, q1, q2)
     ha, hb = M.with_hashes(a), M.with_hashes(b)
-    cells = M.word_counts(ha.union(hb))
+    cells = M.word_counts(ha.withColumn("side", F.lit(0)).union(hb.withColumn("side", F.lit(1))), sided=True)
     found = M.candidates(M.band_keys(ha, cells, split_above, _same), M.band_keys(hb, cells, split_above, _same), False)
     pairs = M.confirmed(M.with_texts(found, a, b)).union(M.same_root(a, b, False)).distinct()
     pairs = pairs.withColumnRenamed("a", "ca").withColumnRenamed("b", "cb")
