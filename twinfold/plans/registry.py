@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from twinfold.operators import balanced
+from twinfold.operators import balanced, corpus, encode, graph, models, pairs, structure, vectors
+from twinfold.streaming import windows
 
-_PARTS = (balanced,)
+_PARTS = (balanced, pairs, corpus, graph, encode, vectors, structure, models, windows)
 QUERIES = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
-SQL = {k: v for m in _PARTS for k, v in m.SQL.items()}
+SQL = {k: v for m in _PARTS for k, v in getattr(m, "SQL", {}).items()}
