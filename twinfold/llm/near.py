@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.llm import matching as M
+from twinfold.llm.matching_sql import matching_sql
 from twinfold.session import cut
 
 BUCKET_BITS, MANTISSA_BITS = 16, 10
@@ -119,4 +120,5 @@ def p7_classes(spark: SparkSession, d: str) -> DataFrame:
     return class_links(spark.read.parquet(f"{d}/train.parquet"))
 
 
+SQL = {"p7_found": matching_sql(("train", "id"), None, ("id_a", "id_b"))}
 QUERIES = {"p7_found": p7_found, "p7_classes": p7_classes}

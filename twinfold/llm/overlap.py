@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.llm import matching as M
+from twinfold.llm.matching_sql import matching_sql
 
 
 def _same(h: np.ndarray) -> np.ndarray:
@@ -49,4 +50,9 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return report(p1_found(spark, d), spark.read.parquet(f"{d}/test.parquet"))
 
 
+_FOUND = matching_sql(("train", "id"), ("test", "test_id"), ("id", "test_id"))
+SQL = {
+    "p1_found": _FOUND,
+    "p1_report": f"WITH o AS ({_FOUND}), k AS (SELECT test_id, count(*) AS n FROM o GROUP BY test_id) SELECT split_name, source, count(*) AS n_rows, count(n) AS n_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs FROM test LEFT JOIN k USING (test_id) GROUP BY 1, 2",
+}
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report}
