@@ -152,6 +152,21 @@ def test_padding(spark):
     assert one(spark, encode.padded(ids, 5, post=True)) == [1, 2, 3, 0, 0]
 
 
+def test_weighted_centroids(spark):
+    t = spark.createDataFrame([(1, 1, "a", 2.0), (1, 1, "b", 1.0), (1, 1, "zz", 5.0), (2, 1, "zz", 1.0)], "id long, side int, w string, weight double")
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "w string, vec array<double>")
+    got = {r.id: r for r in vectors.weighted_centroids(t, v, v.filter("w = 'a'").select("w")).collect()}
+    assert got[1].centre == [2 / 3, 1.0] and got[1].coverage == pytest.approx(2 / 3) and got[2].centre is None and got[2].coverage == 0
+
+
+def test_cuts_can_be_dropped(spark):
+    from twinfold import session
+
+    session.drop_cuts(spark)
+    t = session.cut(spark.range(5))
+    assert t.count() == 5 and session.drop_cuts(spark) == 1 and session.drop_cuts(spark) == 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,qid1,qid2,question1,question2,is_duplicate\n1,2,3,"a ""x"", b\nc",d,1\n')
     r = io.read_pairs(spark, str(tmp_path / "t.csv")).first()

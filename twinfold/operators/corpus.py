@@ -254,3 +254,47 @@ def shard_sizes(spark: SparkSession, d: str) -> DataFrame:
 def thread_sizes(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet").filter("qid IS NOT NULL")
     return t.groupBy("qid").agg(F.count("*").alias("n_docs"), F.sum(F.length(F.coalesce("text", F.lit("")))).cast("long").alias("chars"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"""{_MI}, m AS (SELECT u, v, c12.c / n * ln(c12.c * n / (c1.c * c2.c)) AS mi FROM c12 JOIN c1 ON u = c1.w JOIN c2 ON v = c2.w, n WHERE c12.c >= 3),
+k AS (SELECT id, list_distinct(list_filter(a, lambda w: NOT list_contains(b, w))) AS a, list_distinct(list_filter(b, lambda w: NOT list_contains(a, w))) AS b FROM p), x2 AS (SELECT id, unnest(a) AS u, b FROM k), y2 AS (SELECT id, u, unnest(b) AS v FROM x2)
+SELECT id, round(sum(mi), 7) AS mi_sum, count(*) AS n_known FROM y2 JOIN m USING (u, v) GROUP BY id""")
+def pair_mutual_information(spark: SparkSession, d: str) -> DataFrame:
+    """Summed mutual information of the word pairs (word only in question1, word only in question2) that the table knows."""
+    df = pair_rows(spark, d)
+    f = df.filter("y = 1").select("id", F.array_distinct("a").alias("a"), F.array_distinct("b").alias("b"))
+    n = F.lit(float(f.count()))
+    c1 = f.select(F.explode("a").alias("u")).groupBy("u").agg(F.count("*").alias("c1")).filter("c1 >= 3")
+    c2 = f.select(F.explode("b").alias("v")).groupBy("v").agg(F.count("*").alias("c2")).filter("c2 >= 3")
+    c12 = f.select(F.explode("a").alias("u"), "b").select("u", F.explode("b").alias("v")).groupBy("u", "v").agg(F.count("*").alias("c12")).filter("c12 >= 3")
+    m = c12.join(c1, "u").join(c2, "v").select("u", "v", "c12", (F.col("c12") / n * F.log(F.col("c12") * n / (F.col("c1") * F.col("c2")))).alias("mi"))
+    only = df.select("id", F.array_distinct(F.array_except("a", "b")).alias("a"), F.array_distinct(F.array_except("b", "a")).alias("b"))
+    each = only.select("id", F.explode("a").alias("u"), "b").select("id", "u", F.explode("b").alias("v"))
+    heavy = m.filter(F.col("c12") > F.lit(max(100.0, df.count() * HEAVY_SHARE))).select("u", "v")
+    j = salted_join(each, m, ["u", "v"], heavy, ["id"])
+    return j.groupBy("id").agg(F.round(F.sum("mi"), 7).alias("mi_sum"), F.count("*").alias("n_known"))
+
+
+@query(_PREFIX + _CLOSED + ", g AS (SELECT list(prefix ORDER BY prefix) AS g FROM c WHERE k >= 2) SELECT id, array_to_string(list_filter(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN contains(s, g[i]) THEN CAST(i AS VARCHAR) END), lambda z: z IS NOT NULL), ' ') AS on1 FROM (SELECT id, array_to_string(a, ' ') AS s FROM p), g")
+def pattern_one_hot(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of the patterns (at most 200, in their order) that question1 contains: the set places of its one-hot row."""
+    df = pair_rows(spark, d)
+    found = F.broadcast(closed_prefixes(prefix_levels(df)).filter("k >= 2").agg(F.array_sort(F.collect_list("prefix")).alias("g")))
+    t = df.select("id", F.array_join("a", " ").alias("s")).crossJoin(found)  # one row
+    return t.select("id", F.expr("array_join(filter(transform(g, (x, i) -> CASE WHEN contains(s, x) THEN CAST(i + 1 AS STRING) END), z -> z IS NOT NULL), ' ')").alias("on1"))
+
+
+@query(f"WITH {_Q.split(', c AS')[0].split(' UNION ALL SELECT question1 FROM test')[0]}), c AS (SELECT q, count(*) AS n FROM q WHERE q IS NOT NULL GROUP BY q), b AS (SELECT least(question1, question2) AS lo, greatest(question1, question2) AS hi, count(*) AS both_n FROM train WHERE question1 IS NOT NULL AND question2 IS NOT NULL AND question1 <> question2 GROUP BY 1, 2) SELECT id, c1.n + c2.n - both_n - 1 AS row_degree FROM train JOIN c AS c1 ON question1 = c1.q JOIN c AS c2 ON question2 = c2.q JOIN b ON lo = least(question1, question2) AND hi = greatest(question1, question2)")
+def row_graph_degree(spark: SparkSession, d: str) -> DataFrame:
+    """Other rows that share a question with a row, counted from question counts; rows with equal or null questions are left out.
+
+    The row graph itself, quadratic in a question's rows, is never made.
+    """
+    t = spark.read.parquet(f"{d}/train.parquet").select("id", "question1", "question2")
+    counts = t.select(F.explode(F.array("question1", "question2")).alias("q")).filter("q IS NOT NULL").groupBy("q").agg(F.count("*").alias("n"))
+    r = t.filter("question1 != question2").withColumns({"lo": F.least("question1", "question2"), "hi": F.greatest("question1", "question2")})
+    both = r.groupBy("lo", "hi").agg(F.count("*").alias("both_n"))
+    rows = t.count()
+    heavy = both.filter(F.col("both_n") > F.lit(max(100.0, rows * HEAVY_SHARE))).select("lo", "hi")
+    j = with_counts(salted_join(r, both, ["lo", "hi"], heavy, ["id"]), counts, rows)
+    return j.select("id", (F.col("n1") + F.col("n2") - F.col("both_n") - 1).alias("row_degree"))

@@ -337,3 +337,44 @@ def neighbour_jaccard_cross(spark: SparkSession, d: str) -> DataFrame:
 @query(_neighbour_sql("cross", "CAST(abs(len(a) - len(t)) AS DOUBLE)"))
 def neighbour_length_cross(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_agg(*neighbour_texts(spark, d), lambda x, y: F.abs(F.size(x) - F.size(y)).cast("double"), "cross")
+
+
+def neighbour_pairs_agg(pairs: DataFrame, near: DataFrame, metric: Callable[[Column, Column], Column], mode: str) -> DataFrame:
+    """Statistics of a metric over pairs of neighbours: ``self`` (two of question1), ``between`` (one of either question); at most 20 x 20 a row."""
+    from twinfold.operators.skew import HEAVY_SHARE, salted_join
+
+    lists = near.groupBy("node").agg(F.collect_list(F.struct("nb", "t")).alias("ts"))
+    j, rows = pairs.select("id", "qid1", "qid2"), pairs.count()
+    for k in ("1", "2") if mode == "between" else ("1",):
+        q = f"qid{k}"
+        heavy = pairs.groupBy(q).agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(max(100.0, rows * HEAVY_SHARE))).select(q)
+        j = salted_join(j, lists.select(F.col("node").alias(q), F.col("ts").alias(f"t{k}")), [q], heavy, ["id"])
+    if mode == "between":
+        v = F.flatten(F.transform("t1", lambda x: F.transform("t2", lambda y: metric(x["t"], y["t"]))))
+    else:
+        v = F.flatten(F.transform("t1", lambda x: F.transform(F.filter("t1", lambda y: y["nb"] > x["nb"]), lambda y: metric(x["t"], y["t"]))))
+    j = j.select("id", v.alias("v"))
+    n = F.size("v")
+    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / n
+    return j.filter(n > 0).select("id", n.alias("n"), F.round(mean, 7).alias(f"{mode}_mean"), F.round(F.array_max("v"), 7).alias(f"{mode}_max"), F.round(F.array_min("v"), 7).alias(f"{mode}_min"))
+
+
+def _neighbour_pairs_sql(mode: str) -> str:
+    from twinfold.operators.pairs import _TOK
+
+    tok = lambda c: _TOK.replace("{c}", c)
+    value = _J.replace("(a", "(x.t").replace(", t)", ", y.t)").replace("len(t)", "len(y.t)").replace("distinct(t)", "distinct(y.t)")
+    join = "p JOIN f AS x ON x.node = p.qid1 JOIN f AS y ON y.node = p.qid2" if mode == "between" else "p JOIN f AS x ON x.node = p.qid1 JOIN f AS y ON y.node = p.qid1 AND y.nb > x.nb"
+    return f"""WITH t AS (SELECT * FROM train WHERE qid1 <> qid2 AND question1 IS NOT NULL AND question2 IS NOT NULL), e AS (SELECT qid1 AS node, qid2 AS nb, question2 AS text FROM t UNION ALL SELECT qid2, qid1, question1 FROM t),
+o AS (SELECT node, nb, min(text) AS text FROM e GROUP BY 1, 2), f AS (SELECT node, nb, {tok('text')} AS t FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY nb) AS k FROM o) WHERE k <= {NEIGHBOURS}),
+p AS (SELECT id, qid1, qid2 FROM t), v AS (SELECT id, {value} AS v FROM {join}) SELECT id, CAST(count(*) AS INT) AS n, round(avg(v), 7) AS {mode}_mean, round(max(v), 7) AS {mode}_max, round(min(v), 7) AS {mode}_min FROM v GROUP BY id"""
+
+
+@query(_neighbour_pairs_sql("self"))
+def neighbour_jaccard_self(spark: SparkSession, d: str) -> DataFrame:
+    return neighbour_pairs_agg(*neighbour_texts(spark, d), jaccard, "self")
+
+
+@query(_neighbour_pairs_sql("between"))
+def neighbour_jaccard_between(spark: SparkSession, d: str) -> DataFrame:
+    return neighbour_pairs_agg(*neighbour_texts(spark, d), jaccard, "between")

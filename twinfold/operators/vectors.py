@@ -175,3 +175,66 @@ def fuzzy(df: DataFrame) -> DataFrame:
 @query()
 def pair_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy(pair_rows(spark, d).select("id", F.lower("q1").alias("s"), F.lower("q2").alias("t"), "a", "b"))
+
+
+def nearest(df: DataFrame, id_col: str, vec: str, k: int = 10, every: int = 50, block: int = 20_000) -> DataFrame:
+    """(query_id, id, cosine, rank): for rows whose id is divisible by ``every``, the k rows nearest by cosine; ties by id.
+
+    Queries are taken in blocks of at most ``block`` vectors. For each block every task multiplies its rows with the
+    block's matrix and keeps k rows a query; these are merged by query. Null and zero vectors are near to nothing.
+    """
+    from pyspark.sql import Window
+
+    from twinfold.session import cut
+
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    queries = cut(rows.filter(F.col("id") % every == 0))
+    blocks, got = max(1, -(-queries.count() // block)), None
+    for n in range(blocks):
+        held = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toPandas()
+        shared = spark.sparkContext.broadcast((held["id"].to_numpy(), _unit(np.array(held["v"].tolist())) if len(held) else np.zeros((0, 1))))
+
+        def run(batches, shared=shared):
+            ids, q = shared.value
+            best = None
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                s = q @ _unit(np.array(pdf["v"].tolist())).T
+                near = np.broadcast_to(pdf["id"].to_numpy(), s.shape)
+                if best is not None:
+                    s, near = np.concatenate([best[0], s], 1), np.concatenate([best[1], near], 1)
+                order = np.lexsort((near, -np.round(s, 12)), axis=1)[:, : k + 1]
+                best = np.take_along_axis(s, order, 1), np.take_along_axis(near, order, 1)
+            if best is not None:
+                yield pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1]), "id": best[1].ravel(), "cosine": best[0].ravel()})
+
+        part = rows.mapInPandas(run, "query_id long, id long, cosine double").filter("query_id != id AND NOT isnan(cosine)")
+        got = part if got is None else got.union(part)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), "id")
+    return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
+
+
+@query("WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS v FROM embeddings), c AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.v, v.v) AS cosine FROM v AS q JOIN v ON q.id % 50 = 0 AND q.id <> v.id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 12) DESC, id) AS rank FROM c) SELECT query_id, id, round(cosine, 6) AS cosine, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
+def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding").withColumn("cosine", F.round("cosine", 6))
+
+
+def weighted_centroids(tokens: DataFrame, table: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(id, side, centre, coverage): mean of the word vectors of a question, weighted by ``weight``; coverage is the share of tokens with a vector.
+
+    ``tokens``: (id, side, w, weight); ``table``: (w, vec). Components are summed by position in the JVM.
+    """
+    j = salted_join(tokens, table, ["w"], heavy, ["id"], how="left")
+    n = j.groupBy("id", "side").agg(F.count("*").alias("n"), F.count("vec").alias("known"))
+    parts = j.filter("vec IS NOT NULL").select("id", "side", "weight", F.posexplode("vec").alias("pos", "x"))
+    sums = parts.groupBy("id", "side", "pos").agg(F.sum(F.col("x") * F.col("weight")).alias("s"))
+    lists = sums.groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("s"))  # as long as a vector
+    got = n.join(lists, ["id", "side"], "left")
+    return got.select("id", "side", F.transform("s", lambda x: x["s"] / F.col("n")).alias("centre"), (F.col("known") / F.col("n")).alias("coverage"))
