@@ -103,10 +103,11 @@ def _partial(a: str, b: str) -> float:
     a, b = (a, b) if len(a) <= len(b) else (b, a)
     if not a:
         return 0.0
-    best = 0.0
-    for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-        at = max(0, m.b - m.a)
-        best = max(best, _ratio(a, b[at : at + len(a)]))
+    best, part = 0.0, difflib.SequenceMatcher(None, "", a, autojunk=False)
+    for at in {max(0, m.b - m.a) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()}:
+        part.set_seq1(b[at : at + len(a)])
+        if part.quick_ratio() > best:
+            best = max(best, part.ratio())
     return best
 
 
@@ -139,8 +140,11 @@ def _bleu(a: list, b: list, n: int) -> float:
     return math.exp(total / n) * min(1.0, math.exp(1 - len(b) / len(a)))
 
 
+_LZMA = [{"id": lzma.FILTER_LZMA2, "preset": 0, "dict_size": 1 << 12}]
+
+
 def _packed_distance(a: str, b: str) -> float:
-    size = lambda t: len(lzma.compress(t.encode(), preset=0))
+    size = lambda t: len(lzma.compress(t.encode(), lzma.FORMAT_RAW, filters=_LZMA)) or 1
     x, y = size(a), size(b)
     return (size(a + b) - min(x, y)) / max(x, y)
 
