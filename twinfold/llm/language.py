@@ -224,7 +224,9 @@ def fitted(reference: DataFrame, docs: DataFrame, id_col: str = "doc_id", text:
     pairs = [(r[0], r[1]) for r in reference.select("lang", "sample_text").dropna().collect()]
     named = label_language(F.col(label), notations(reference))
     short = docs.filter(F.length(text).between(1, SAMPLE_CHARS)).select(named.alias("l"), F.col(text).alias("t"), F.xxhash64(id_col).alias("h"))
-    return train(pairs, [(r.l, r.t) for r in short.dropna(subset="l").orderBy("h", "t").limit(SAMPLE_DOCS).collect()], path)
+    share = 4 * SAMPLE_DOCS / max(docs.count(), 1)  # about four samples are sorted, however many documents there are
+    few = short.filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(min(share, 1) * (1 << 30)))).dropna(subset="l")
+    return train(pairs, [(r.l, r.t) for r in few.orderBy("h", "t").limit(SAMPLE_DOCS).collect()], path)
 
 
 def smoothed(best: np.ndarray, total: np.ndarray) -> np.ndarray:

@@ -91,7 +91,8 @@ def class_pairs(reps: DataFrame, split_above: int = M.SPLIT_ABOVE) -> DataFrame:
 def matching_pairs(df: DataFrame, id_col: str = "id", q1: str = "question1", q2: str = "question2", split_above: int = M.SPLIT_ABOVE) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every two records that match, copies included.
 
-    Records with a null, empty or wordless question match nothing. Equal rows under two ids match.
+    Records with a null, empty or wordless question match nothing. Equal rows under two ids match;
+    ids are taken as unique, a row repeated under its id gives its pairs again. Other columns are not read.
     Classes are expanded to their records at the end; an empty table gives no rows.
     """
     rows, reps = M.prepared(df, id_col, q1, q2)
