@@ -8,6 +8,7 @@ Documents are then ranked within their size, and patterns are joined back to the
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ from twinfold.session import cut
 
 #: Items that one task ranks at most, on average.
 RANKED = 100_000
+#: Shares of packs above the least possible number that are tried as a start.
+SPARE = (0, 0.0001, 0.0003, 0.001, 0.002, 0.004, 0.007, 0.012)
 
 
-def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(count, sizes): packs by their pattern. Sizes are from 1 to ``capacity``."""
+def placed(histogram: dict[int, int], capacity: int, opened: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(count, sizes): packs by their pattern, when ``opened`` empty packs stand ready and others are opened where none takes an item."""
     heap: list[tuple[int, int]] = []  # (-room, number of the group)
     groups: list[tuple[int, tuple | None]] = []  # count, chain of sizes
     full: list[int] = []
@@ -35,6 +38,8 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[
         else:
             full.append(len(groups) - 1)
 
+    if opened:
+        hold(opened, None, capacity)
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
         while left:
@@ -56,10 +61,30 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[
         while chain:
             sizes.append(chain[0])
             chain = chain[1]
-        out.append((count, tuple(reversed(sizes))))
+        if sizes:
+            out.append((count, tuple(reversed(sizes))))
     return out
 
 
+def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The best packing by shortest-pack-first. Sizes are from 1 to ``capacity``.
+
+    Packs that are opened only on demand come to be evenly filled too early, and then take no item of middle size. So the
+    number of packs to start with is tried from the least possible one up, in SPARE steps, and the fewest packs win.
+    """
+    least = -(-sum(k * v for k, v in histogram.items()) // capacity)
+    best = placed(histogram, capacity, 0)
+    total = sum(c for c, _ in best)
+    for spare in SPARE:
+        opened = least + math.ceil(least * spare)
+        if opened >= total:
+            break
+        got = placed(histogram, capacity, opened)
+        if (n := sum(c for c, _ in got)) < total:
+            best, total = got, n
+    return best
+
+
 def slots(packs: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
     """For every place of every pattern: which ranks of its size go there, the first container, and the place's offset."""
     seen: dict[int, int] = {}
