@@ -172,13 +172,27 @@ def test_pairs_of_words(spark, monkeypatch):
         for p in {tuple(sorted((u, v))) for u in x for v in y if u != v}:
             want[p] = want.get(p, 0) + 1
     df = spark.createDataFrame(rows, "question1 string, question2 string")
+    seen = []
     for size in (200_000, 3):
         monkeypatch.setattr(together, "SLICE", size)
         monkeypatch.setattr(together, "HELD", 50)
         got = together.pair_surprise(df).collect()
         assert {(r.term_a, r.term_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in got} == {p: (c, single[p[0]], single[p[1]], n) for p, c in want.items() if c >= 6}
+        assert len({(r.term_a, r.term_b) for r in got}) == len(got)
+        seen.append(sorted((r.term_a, r.term_b, r.n_ab, round(r.expected, 9), round(r.p_value, 12)) for r in got))
         assert min(got, key=lambda r: r.p_value)[:2] == ("x", "y")
         assert all(0 <= r.p_value <= 1 and r.p_value <= r.q_value + 1e-12 for r in got)
+    assert seen[0] == seen[1]
+
+
+def test_null_keeps_frequencies_and_sizes():
+    import numpy as np
+
+    f, k, s, n = np.array([1.0, 5.0, 40.0]), np.array([30.0, 6.0, 1.0]), np.array([1.0, 2.0, 4.0]), np.array([20.0, 25.0, 7.5])
+    n[2] = (f @ k - s[:2] @ n[:2]) / 4
+    x, y = together.fit(f, k, s, n, 5000)
+    p = np.outer(x, y) / (1 + np.outer(x, y))
+    assert np.allclose(p @ n, f, rtol=1e-4) and np.allclose(k @ p, s, rtol=1e-4)
 
 
 def test_tail_against_exact():

@@ -32,8 +32,16 @@ def baskets(df: DataFrame, q1: str = "question1", q2: str = "question2") -> Data
 
 
 def item_rows(b: DataFrame) -> DataFrame:
-    """(term, n): records that hold the word in either question."""
-    return b.select(F.explode(F.array_distinct(F.concat("w1", "w2"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n, m): records that hold the word in either question, and baskets that hold it."""
+    both = F.array_intersect("w1", "w2")
+    t = b.select(both.alias("both"), F.explode(F.array_distinct(F.concat("w1", "w2"))).alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("n"), (F.count("*") + F.sum(F.array_contains("both", F.col("term")).cast("long"))).alias("m"))
+
+
+def coarse(c, exact: int, digits: int):
+    """Whole numbers as they are up to ``exact``, above it with so many significant digits: a bounded number of classes."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(c, F.lit(1)))) - (digits - 1))
+    return F.when(c <= exact, c.cast("double")).otherwise(F.round(c / unit) * unit)
 
 
 def _codes(col: pa.ListArray, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,25 +54,24 @@ def _codes(col: pa.ListArray, index: dict[str, int]) -> tuple[np.ndarray, np.nda
     return row[keep], code[keep]
 
 
-def _count(left: list[str], right: list[str] | None, shared) -> callable:
-    """Partial counts of a partition: (a, b, n) for pairs; (-1, code, n) baskets with a word; (-2 - s1, s2, n) records by sizes of baskets."""
+def _count(shared, own: bool):
+    """Partial counts of a partition, (a, b, n): codes of two words and the records that hold them together.
+
+    ``shared`` holds the words and their slices. ``own``: pairs within the one slice; else only pairs across the two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
+        names, part = shared.value
         index = {w: i for i, w in enumerate(names)}
         k = len(names)
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        single, sizes = np.zeros(k, np.int64), {}
 
         def out(a, b, n):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:
             (r1, c1), (r2, c2) = _codes(batch.column(0), index), _codes(batch.column(1), index)
-            single += np.bincount(c1, minlength=k) + np.bincount(c2, minlength=k)
-            n1, n2 = np.bincount(r1, minlength=batch.num_rows), np.bincount(r2, minlength=batch.num_rows)
-            for key, n in zip(*np.unique(n1 * (1 << 31) + n2, return_counts=True)):
-                sizes[int(key)] = sizes.get(int(key), 0) + int(n)
+            n2 = np.bincount(r2, minlength=batch.num_rows)
             start = np.cumsum(n2) - n2
             each, at = n2[r1], 0
             total = np.cumsum(each)
@@ -76,7 +83,7 @@ def _count(left: list[str], right: list[str] | None, shared) -> callable:
                 ia = np.repeat(np.arange(at, end), each[at:end])
                 ib = np.arange(len(ia)) - np.repeat(np.cumsum(each[at:end]) - each[at:end], each[at:end]) + start[r1[ia]]
                 x, y, r = c1[ia], c2[ib], r1[ia]
-                keep = x != y
+                keep = (x != y) if own else (part[x] != part[y])
                 lo, hi, r = np.minimum(x, y)[keep], np.maximum(x, y)[keep], r[keep]
                 code = lo * k + hi
                 order = np.lexsort((code, r))
@@ -92,23 +99,22 @@ def _count(left: list[str], right: list[str] | None, shared) -> callable:
                 keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(keys):
             yield out(keys // k, keys % k, sums)
-        at = np.flatnonzero(single)
-        yield out(np.full(len(at), -1), at, single[at])
-        s = np.array(list(sizes), np.int64)
-        yield out(-2 - (s >> 31), s & ((1 << 31) - 1), np.array(list(sizes.values()), np.int64))
 
     return run
 
 
-def fit(frequency: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """x per item and y per basket size, so that expected frequencies and sizes are as observed (to 1e-9, or after ``rounds``)."""
+def fit(frequency: np.ndarray, items: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """x per class of items and y per class of baskets, so that expected frequencies and sizes are as observed (to 1e-9, or after ``rounds``).
+
+    ``items`` words are in ``frequency`` baskets each, ``numbers`` baskets hold ``sizes`` words each; equal ones have equal parameters.
+    """
     n, total = numbers.sum(), max((sizes * numbers).sum(), 1)
     x, y = frequency / math.sqrt(total), sizes / math.sqrt(total)
     for _ in range(rounds):
         z = 1 / (1 + np.outer(x, y))
         x_new = np.where(frequency >= n, 1e12, frequency / np.maximum((z * (y * numbers)).sum(1), 1e-300))
         z = 1 / (1 + np.outer(x_new, y))
-        y_new = np.where(sizes >= len(frequency), 1e12, sizes / np.maximum((z * x_new[:, None]).sum(0), 1e-300))
+        y_new = np.where(sizes >= items.sum(), 1e12, sizes / np.maximum((z * (x_new * items)[:, None]).sum(0), 1e-300))
         done = np.allclose(x, x_new, rtol=1e-9) and np.allclose(y, y_new, rtol=1e-9)
         x, y = x_new, y_new
         if done:
@@ -161,22 +167,24 @@ def pair_surprise(df: DataFrame, q1: str = "question1", q2: str = "question2", l
     b = baskets(df, q1, q2)
     n = b.count()
     floor = max(least, math.ceil(n * share - 1e-9))
-    vocabulary = cut(item_rows(b).filter(F.col("n") >= floor))
+    items = cut(item_rows(b))
+    vocabulary = items.filter(F.col("n") >= floor)
     size = vocabulary.count()
     slices = max(1, -(-size // SLICE))
-    schema = "term_a string, term_b string, n_ab long, n_a long, n_b long, expected double, p_value double"
+    null = _null(items, b) if size else None
     of_slice = F.pmod(F.xxhash64("term"), F.lit(slices))
     done = []
     for i in range(slices):
         for j in range(i, slices):
-            held = sorted((r.term, r.n) for r in vocabulary.filter(of_slice.isin(i, j)).collect())
-            done.append(_slice(spark, b, held, floor, schema))
+            held = sorted((r.term, r.n, r.m, r.s) for r in vocabulary.withColumn("s", of_slice).filter(F.col("s").isin(i, j)).collect())
+            if held:
+                done.append(_slice(spark, b, held, floor, null, i == j))
     if not n or not size:
         return spark.createDataFrame([], "term_a string, term_b string, n_ab long, n_a long, n_b long, n long, lift double, expected double, p_value double, q_value double")
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
-    pairs = cut(out.distinct() if slices > 1 else out)
+    pairs = cut(out)
     bins = pairs.groupBy(_bin(F.col("p_value")).alias("k")).count().collect()  # at most 4,097 rows
     q, rank, tests = {}, 0, sum(r["count"] for r in bins)
     for r in sorted(bins, key=lambda r: r.k):
@@ -195,21 +203,32 @@ def _bin(p):
     return F.ceil(F.greatest(F.log10(F.greatest(p, F.lit(1e-320))), F.lit(-320.0)) * 8).cast("int")
 
 
-def _slice(spark: SparkSession, b: DataFrame, held: list[tuple[str, int]], floor: int, schema: str) -> DataFrame:
-    names, of = [w for w, _ in held], np.array([c for _, c in held], np.int64)
-    shared = spark.sparkContext.broadcast(names)
-    counted = cut(b.mapInArrow(_count(names, None, shared), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    single = np.zeros(len(names))
-    for r in counted.filter("a = -1").collect():  # one row per word held
-        single[r.b] = r.n
-    rows = counted.filter("a < -1").collect()  # pairs of basket sizes
-    s1, s2, number = (np.array(x, float) for x in ([-2 - r.a for r in rows], [r.b for r in rows], [r.n for r in rows]))
+def _null(items: DataFrame, b: DataFrame) -> tuple:
+    """The fitted null over all words: classes of word frequencies with their x, pairs of basket sizes with their y and numbers of records.
+
+    Frequencies above 1,000 are classed by three digits and sizes above 50 by two, so what is collected is bounded.
+    """
+    words_ = items.groupBy(coarse(F.col("m"), 1000, 3).alias("m")).agg(F.count("*").alias("k")).orderBy("m").collect()
+    frequency, number = np.array([r.m for r in words_]), np.array([float(r.k) for r in words_])
+    both = b.groupBy(*(coarse(F.size(c), 50, 2).alias(s) for c, s in (("w1", "s1"), ("w2", "s2")))).agg(F.count("*").alias("k")).orderBy("s1", "s2").collect()
+    s1, s2, k = (np.array([float(r[i]) for r in both]) for i in range(3))
     sizes, inv = np.unique(np.concatenate([s1, s2]), return_inverse=True)
-    x, y = fit(single, sizes, np.bincount(inv, weights=np.concatenate([number, number]), minlength=len(sizes)))
-    at1, at2 = np.searchsorted(sizes, s1), np.searchsorted(sizes, s2)
+    x, y = fit(frequency, number, sizes, np.bincount(inv, weights=np.concatenate([k, k]), minlength=len(sizes)))
+    return frequency, x, y, np.searchsorted(sizes, s1), np.searchsorted(sizes, s2), k
+
+
+def _slice(spark: SparkSession, b: DataFrame, held: list[tuple[str, int, int, int]], floor: int, null: tuple, own: bool) -> DataFrame:
+    names, of, baskets_of, part = ([h[i] for h in held] for i in range(4))
+    of = np.array(of, np.int64)
+    shared = spark.sparkContext.broadcast((names, np.array(part)))
+    frequency, of_class, y, at1, at2, number = null
+    near = np.searchsorted((frequency[1:] + frequency[:-1]) / 2, baskets_of)
+    x = of_class[near]
+    counted = b.mapInArrow(_count(shared, own), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor)
+    schema = "term_a string, term_b string, n_ab long, n_a long, n_b long, expected double, p_value double"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
+        names, _ = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 a, c, n = (batch.column(i)[k : k + 500].to_numpy(zero_copy_only=False) for i in range(3))
@@ -218,7 +237,7 @@ def _slice(spark: SparkSession, b: DataFrame, held: list[tuple[str, int]], floor
                 mean, tail = upper_tail(n.astype(float), p, number)
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a], pa.string()), pa.array([names[i] for i in c], pa.string()), pa.array(n), pa.array(of[a]), pa.array(of[c]), pa.array(mean), pa.array(tail)], names=["term_a", "term_b", "n_ab", "n_a", "n_b", "expected", "p_value"])
 
-    return counted.filter((F.col("a") >= 0) & (F.col("n") >= floor)).mapInArrow(judge, schema)
+    return counted.mapInArrow(judge, schema)
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
