@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.text import words
-from twinfold.operators.skew import HEAVY_SHARE, salted_join
+from twinfold.operators.skew import HEAVY_SHARE
 
 
 def terms(df: DataFrame, id_col: str = "id", q1: str = "question1", q2: str = "question2") -> DataFrame:
@@ -28,17 +28,19 @@ def scores(df: DataFrame, id_col: str = "id", q1: str = "question1", q2: str = "
 
     n_rows: records that hold the word in either question. Counts are over all records, those with a null
     question too; a record without words has no rows, nor has an empty table. Two records under one id each
-    have rows. The counts of a word are combined before the shuffle; words in more than a thousandth of
-    the records are salted in the join.
+    have rows. The counts of a word are combined before the shuffle. Words in more than a thousandth of
+    the records, of which there are at most a thousand times the mean words of a record, are joined where their rows are;
+    only the rows of rarer words are shuffled.
     """
     t = terms(df, id_col, q1, q2)
-    n, total = df.select(F.count("*"), F.sum(sum(F.coalesce(F.size(words(F.coalesce(F.col(q), F.lit("")))), F.lit(0)) for q in (q1, q2)))).first()
-    mean = (total or 0) / n if n else 0.0
+    n = df.count()
     stats = t.groupBy("term").agg(F.count("*").alias("n_rows"), F.sum("tf").alias("freq"))
-    heavy = stats.filter(F.col("n_rows") > F.lit(HEAVY_SHARE * n)).select("term") if n else stats.select("term").limit(0)
-    j = salted_join(t, stats, ["term"], heavy, ["id"])
+    frequent = F.broadcast(stats.filter(F.col("n_rows") > F.lit(HEAVY_SHARE * n)))
+    j = t.join(frequent, "term").unionByName(t.join(frequent.select("term"), "term", "left_anti").join(stats, "term"))
+    total = F.broadcast(stats.agg((F.sum("freq") / F.lit(float(max(n, 1)))).alias("mean")))  # one row
+    j = j.crossJoin(total)
     rate = F.col("freq") / F.lit(float(max(n, 1)))
-    tfn = F.col("tf") * F.log2(1 + F.lit(c * mean) / F.col("length"))
+    tfn = F.col("tf") * F.log2(1 + F.lit(c) * F.col("mean") / F.col("length"))
     score = (F.log2(1 + rate) + tfn * F.log2((1 + rate) / rate)) / (1 + tfn)
     return j.select("id", "term", "n_rows", "shared", score.alias("score"))
 
