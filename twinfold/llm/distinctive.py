@@ -17,10 +17,12 @@ def terms(df: DataFrame, id_col: str = "id", q1: str = "question1", q2: str = "q
     """(id, term, tf, length, shared): the distinct words of each record; shared if in both questions. Null questions have no words."""
     none = F.array().cast("array<string>")
     t = df.select(F.col(id_col).alias("id"), F.coalesce(words(F.col(q1)), none).alias("w1"), F.coalesce(words(F.col(q2)), none).alias("w2"))
-    t = t.select("id", F.concat("w1", "w2").alias("w"), F.array_intersect("w1", "w2").alias("both"))
-    t = t.select("id", "w", "both", F.explode(F.array_distinct("w")).alias("term"))
-    length = F.size("w")
-    return t.select("id", "term", (length - F.size(F.array_remove("w", F.col("term")))).alias("tf"), length.alias("length"), F.array_contains("both", F.col("term")).alias("shared"))
+    once = (F.size(F.array_distinct("w1")) == F.size("w1")) & (F.size(F.array_distinct("w2")) == F.size("w2"))
+    t = t.select("id", F.concat("w1", "w2").alias("w"), F.array_intersect("w1", "w2").alias("both"), once.alias("once"))
+    t = t.select("id", "w", "both", "once", F.size("w").alias("length"), F.explode(F.array_distinct("w")).alias("term"))
+    shared = F.array_contains("both", F.col("term"))
+    counted = F.col("length") - F.size(F.array_remove("w", F.col("term")))  # only where a question repeats a word
+    return t.select("id", "term", F.when(F.col("once"), 1 + shared.cast("int")).otherwise(counted).alias("tf"), "length", shared.alias("shared"))
 
 
 def scores(df: DataFrame, id_col: str = "id", q1: str = "question1", q2: str = "question2", c: float = 1.0) -> DataFrame:
