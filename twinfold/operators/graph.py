@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinfold.operators.skew import HEAVY_SHARE, salted_join
 from twinfold.session import cut
 
 QUERIES, SQL = {}, {}
@@ -57,6 +58,12 @@ def degrees(e: DataFrame) -> DataFrame:
     return both_ways(e).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
+def hubs(e: DataFrame, key: str) -> DataFrame:
+    """(key): nodes with more than a thousandth of the edges, a thousand at most."""
+    n = e.count()
+    return e.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(max(100.0, n * HEAVY_SHARE))).select(key)
+
+
 @query(f"WITH {_QE} SELECT src AS node, count(*) AS degree, min(dst) AS first_neighbour, max(dst) AS last_neighbour FROM u GROUP BY src")
 def question_degree(spark: SparkSession, d: str) -> DataFrame:
     u = both_ways(question_edges(spark, d))
@@ -67,8 +74,8 @@ def question_degree(spark: SparkSession, d: str) -> DataFrame:
 def avg_neighbour_degree(spark: SparkSession, d: str) -> DataFrame:
     """Every directed edge (n to v) carries v's degree; the edges of a hub are combined before the shuffle."""
     e = question_edges(spark, d)
-    u, g = both_ways(e), degrees(e)
-    return u.join(g.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.round(F.avg("degree"), 6).alias("mean_degree"))
+    u, g = cut(both_ways(e)), degrees(e)
+    return salted_join(u, g.withColumnRenamed("node", "dst"), ["dst"], hubs(u, "dst"), ["src"]).groupBy(F.col("src").alias("node")).agg(F.round(F.avg("degree"), 6).alias("mean_degree"))
 
 
 @query(f"WITH {_UE} SELECT e.src, e.dst, count(x.dst) AS common FROM e LEFT JOIN u AS x ON x.src = e.src LEFT JOIN u AS y ON y.src = e.dst AND y.dst = x.dst WHERE y.dst IS NOT NULL GROUP BY 1, 2")
@@ -146,9 +153,11 @@ def pagerank(arcs: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFr
     out = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
     nodes = cut(nodes.join(out, "node", "left"))
     n = nodes.count()
+    heavy = cut(hubs(arcs, "src"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for k in range(rounds):
-        sent = arcs.join(ranks.filter("out IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("part")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
+        parts = ranks.filter("out IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("part"))
+        sent = salted_join(arcs, parts, ["src"], heavy, ["dst"]).groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
         loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))  # one row
         ranks = nodes.join(sent, "node", "left").crossJoin(F.broadcast(loose)).select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
         if k % 3 == 2:
@@ -183,8 +192,10 @@ def core_numbers(e: DataFrame, most: int = 1000) -> DataFrame:
     """
     u = cut(both_ways(e))
     core = cut(degrees(e).withColumnRenamed("degree", "core"))
+    heavy = cut(hubs(u, "src"))
     for _ in range(most):
-        seen = u.join(core.withColumnRenamed("node", "src").withColumnRenamed("core", "own"), "src").join(core.withColumnRenamed("node", "dst").withColumnRenamed("core", "other"), "dst")
+        seen = salted_join(u, core.withColumnRenamed("node", "src").withColumnRenamed("core", "own"), ["src"], heavy, ["dst"])
+        seen = salted_join(seen, core.withColumnRenamed("node", "dst").withColumnRenamed("core", "other"), ["dst"], heavy.withColumnRenamed("src", "dst"), ["src"])
         counts = seen.groupBy("src", "own", F.least("own", "other").alias("v")).agg(F.count("*").alias("n"))
         above = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("v")))
         nxt = counts.withColumn("above", above).groupBy(F.col("src").alias("node")).agg(F.max(F.least("v", "above")).alias("core"), F.max("own").alias("own"))
@@ -222,27 +233,26 @@ def maximal_cliques(e: DataFrame) -> DataFrame:
     """(clique): maximal cliques of two nodes or more, as sorted arrays.
 
     Every node gathers its later neighbours in a degree order (at most the square root of twice the edges), with
-    the edges among all its neighbours; Bron-Kerbosch with pivot then gives the cliques of which it is the first node.
+    their edges to its other neighbours; Bron-Kerbosch with pivot then gives the cliques of which it is the first node.
     """
     o = cut(oriented(e).select("x", "y"))
     later = o.groupBy("x").agg(F.sort_array(F.collect_list("y")).alias("later"))
-    earlier = o.select(F.col("y").alias("x"), F.col("x").alias("z"))
     near = both_ways(e).select(F.col("src").alias("x"), F.col("dst").alias("n"))
     candidates = o.select("x", F.col("y").alias("n"))
     # adjacency between each later neighbour and every neighbour of x
     inner = candidates.join(near.withColumnRenamed("n", "m"), "x").filter("n != m").join(near.select(F.col("x").alias("n"), F.col("n").alias("m")), ["n", "m"]).select("x", "n", "m")
     links = inner.groupBy("x").agg(F.collect_list(F.struct("n", "m")).alias("links"))
-    before = earlier.groupBy("x").agg(F.collect_list("z").alias("earlier"))
-    per = later.join(links, "x", "left").join(before, "x", "left")
+    per = later.join(links, "x", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for x, late, link, early in zip(pdf["x"], pdf["later"], pdf["links"], pdf["earlier"]):
+            for x, late, link in zip(pdf["x"], pdf["later"], pdf["links"]):
                 near_of: dict[int, set[int]] = {v: set() for v in late}
                 for p in link if link is not None else ():
                     near_of[p["n"]].add(p["m"])
-                stack = [((x,), set(late), set(early) if early is not None else set())]
+                first = set().union(*near_of.values()) - set(late)  # before x, and next to it and to one of the later ones
+                stack = [((x,), set(late), first)]
                 while stack:
                     held, cand, gone = stack.pop()
                     if not cand:
@@ -297,8 +307,6 @@ def neighbour_agg(pairs: DataFrame, near: DataFrame, metric: Callable[[Column, C
     """
     lists = near.groupBy("node").agg(F.collect_list("t").alias("ts"))  # at most 20
     key = {"own": "qid1", "cross": "qid2"}[mode]
-    from twinfold.operators.skew import HEAVY_SHARE, salted_join
-
     sizes = pairs.groupBy(key).agg(F.count("*").alias("n"))
     heavy = sizes.filter(F.col("n") > F.lit(max(100.0, pairs.count() * HEAVY_SHARE))).select(key)
     j = salted_join(pairs.select("id", key, "a"), lists.withColumnRenamed("node", key), [key], heavy, ["id"], how="left")
@@ -341,8 +349,6 @@ def neighbour_length_cross(spark: SparkSession, d: str) -> DataFrame:
 
 def neighbour_pairs_agg(pairs: DataFrame, near: DataFrame, metric: Callable[[Column, Column], Column], mode: str) -> DataFrame:
     """Statistics of a metric over pairs of neighbours: ``self`` (two of question1), ``between`` (one of either question); at most 20 x 20 a row."""
-    from twinfold.operators.skew import HEAVY_SHARE, salted_join
-
     lists = near.groupBy("node").agg(F.collect_list(F.struct("nb", "t")).alias("ts"))
     j, rows = pairs.select("id", "qid1", "qid2"), pairs.count()
     for k in ("1", "2") if mode == "between" else ("1",):
