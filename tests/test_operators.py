@@ -1,5 +1,6 @@
 import itertools
 import random
+import statistics
 import struct
 
 import pytest
@@ -192,3 +193,27 @@ def test_llm_is_not_imported():
 
     code = "import sys; import twinfold.plans.registry, twinfold.sources.io; assert not [m for m in sys.modules if m.startswith('twinfold.llm')]"
     assert subprocess.run([sys.executable, "-c", code]).returncode == 0
+
+
+@pytest.mark.parametrize("few", [4096, 0])
+def test_all_neighbours_count(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_PAIRS", few)
+    monkeypatch.setattr(graph, "CELL", (2, 7))
+    rng = random.Random(3)
+    text_of = {q: " ".join(rng.choices("how do we learn to sing in a big old town".split(), k=rng.randint(1, 8))) for q in range(40)}
+    text_of[39] = text_of[0] = "what is the whole of it"  # the neighbour that a cap by id would drop
+    arcs = [(0, q) for q in range(1, 40)] + [(q, 0) for q in range(1, 40, 3)] + [(5, 6), (6, 7)]
+    spark.createDataFrame([(i, a, b, text_of[a], text_of[b], 0) for i, (a, b) in enumerate(arcs)], "id long, qid1 long, qid2 long, question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
+    near = {}
+    for a, b in arcs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    words = {q: set(t.split()) for q, t in text_of.items()}
+    for mode, query in (("own", graph.neighbour_jaccard_own_all), ("cross", graph.neighbour_jaccard_cross_all)):
+        got = {r["id"]: r for r in query(spark, str(tmp_path)).collect()}
+        assert len(got) == len(arcs)
+        for i, (a, b) in enumerate(arcs):
+            v = [len(words[a] & words[n]) / len(words[a] | words[n]) for n in near[a if mode == "own" else b]]
+            want = (statistics.mean(v), statistics.pstdev(v), max(v), min(v), statistics.median(v))
+            assert [got[i][f"{mode}_{k}"] for k in ("mean", "std", "max", "min", "median")] == pytest.approx(want, abs=6e-6)
+    assert {r["id"]: r.own_max for r in graph.neighbour_jaccard_own_all(spark, str(tmp_path)).collect()}[0] == 1.0

@@ -384,3 +384,155 @@ def neighbour_jaccard_self(spark: SparkSession, d: str) -> DataFrame:
 @query(_neighbour_pairs_sql("between"))
 def neighbour_jaccard_between(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs_agg(*neighbour_texts(spark, d), jaccard, "between")
+
+
+#: Pairs (a question's text with a neighbour's text) of a node up to which they are joined row by row; above it they are compared in cells.
+FEW_PAIRS = 4096
+#: Texts of questions and of neighbours that meet in one cell, on average.
+CELL = (4096, 32768)
+
+
+def _jaccard_cell(a: list, t: list, c: list) -> Iterator[list[tuple[float, int]]]:
+    """Per token set of ``a`` the (value, number) of its Jaccard similarities to the sets of ``t``, each ``c`` times.
+
+    Frequent words are counted by a matrix product, rare ones through their lists of sets; the sums are exact.
+    """
+    import numpy as np
+
+    na, nt = np.array([len(x) for x in a]), np.array([len(x) for x in t])
+    code, names = pd.factorize(np.array([w for x in (*a, *t) for w in x], dtype=object))
+    ca, ct = code[: na.sum()], code[na.sum() :]
+    ra, rt = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(t)), nt)
+    k, c = len(names), np.asarray(c, float)
+    frequency = np.bincount(ct, minlength=k)
+    place = np.full(k, -1)
+    often = np.flatnonzero(frequency > max(32, len(t) // 256))
+    place[often] = np.arange(len(often))
+    dense = np.zeros((len(often), len(t)), np.float32)
+    keep = place[ct] >= 0
+    dense[place[ct[keep]], rt[keep]] = 1
+    order = np.argsort(ct, kind="stable")
+    lists, start = rt[order], np.cumsum(frequency) - frequency
+    step = max(1, 2_000_000 // max(len(t), 1))
+    for lo in range(0, len(a), step):
+        n = min(step, len(a) - lo)
+        mine = (ra >= lo) & (ra < lo + n)
+        r, w = ra[mine] - lo, ca[mine]
+        x = np.zeros((n, len(often)), np.float32)
+        in_dense = place[w] >= 0
+        x[r[in_dense], place[w[in_dense]]] = 1
+        both = (x @ dense).astype(np.int64)
+        r, w = r[~in_dense], w[~in_dense]
+        each = frequency[w]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[w], each)
+        both += np.bincount(np.repeat(r, each) * len(t) + lists[at], minlength=n * len(t)).reshape(n, len(t))
+        total = na[lo : lo + n, None] + nt[None, :]
+        width, height_ = int(total.max()) + 1, int(both.max()) + 1
+        bins = both * width + total
+        for i in range(n):
+            seen = np.bincount(bins[i], weights=c, minlength=height_ * width)
+            at = np.flatnonzero(seen)
+            inter, of = at // width, at % width
+            yield [(float(v), int(m)) for v, m in zip(np.where(of > 0, inter / np.maximum(of - inter, 1), 0.0), seen[at])]
+
+
+def _weighted(hs: Column, mode: str) -> list[Column]:
+    """Mean, deviation, largest, smallest and median of ``hs``, an array of (v, c): value and how often."""
+    n = F.aggregate(hs, F.lit(0).cast("long"), lambda s, h: s + h["c"])
+    mean = F.aggregate(hs, F.lit(0.0), lambda s, h: s + h["v"] * h["c"]) / n
+    square = F.aggregate(hs, F.lit(0.0), lambda s, h: s + h["v"] * h["v"] * h["c"]) / n
+    vs = F.transform(hs, lambda h: h["v"])
+
+    def at(place: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("cum"), F.lit(0.0).alias("v"))
+        step = lambda s, h: F.struct((s["cum"] + h["c"]).alias("cum"), F.when(s["cum"] <= place, h["v"]).otherwise(s["v"]).alias("v"))
+        return F.aggregate(F.array_sort(hs), zero, step, lambda s: s["v"])
+
+    median = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+    out = {"mean": F.round(mean, 7), "std": F.round(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), 5), "max": F.round(F.array_max(vs), 7), "min": F.round(F.array_min(vs), 7), "median": F.round(median, 7)}
+    return [v.alias(f"{mode}_{k}") for k, v in out.items()]
+
+
+def whole_neighbour_agg(spark: SparkSession, d: str, profile: Callable[[Column], Column], metric: Callable[[Column, Column], Column], mode: str) -> DataFrame:
+    """Five statistics of a metric between question1 and all different neighbours of question1 (``own``) or question2 (``cross``).
+
+    ``profile`` is what the metric reads of a text's tokens: a token set, or a number of few values. Neighbours of one
+    profile are compared once, with their number; at nodes of many pairs the questions' profiles too, and token sets are
+    cut into cells of bounded size in both directions.
+    """
+    from twinfold.functions.text import clean_tokens
+
+    t = spark.read.parquet(f"{d}/train.parquet").filter("qid1 != qid2 AND question1 IS NOT NULL AND question2 IS NOT NULL")
+    key = {"own": "qid1", "cross": "qid2"}[mode]
+    rows = cut(t.select("id", F.col(key).alias("node"), profile(clean_tokens(F.col("question1"))).alias("a")))
+    ends = t.select(F.explode(F.array(F.struct(F.col("qid1").alias("node"), F.col("qid2").alias("nb"), F.col("question2").alias("text")), F.struct(F.col("qid2").alias("node"), F.col("qid1").alias("nb"), F.col("question1").alias("text")))).alias("e")).select("e.*")
+    once = ends.groupBy("node", "nb").agg(F.min("text").alias("text"))
+    near = cut(once.groupBy("node", profile(clean_tokens(F.col("text"))).alias("t")).agg(F.count("*").alias("c")))
+    sizes = rows.groupBy("node").agg(F.count("*").alias("g")).join(near.groupBy("node").agg(F.count("*").alias("m")), "node")
+    large = cut(sizes.filter(F.col("g") * F.col("m") > FEW_PAIRS))
+    least = max(100.0, rows.count() * HEAVY_SHARE)
+    heavy = cut(large.filter(F.greatest("g", "m") > F.lit(least)).select("node"))
+
+    def sized(x: DataFrame, by: str) -> DataFrame:
+        return salted_join(x, large.select("node", F.lit(True).alias("large")), ["node"], heavy, [by], how="left")
+
+    def compared(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+        pairs = a.join(b, "node").select("node", by, F.struct(metric(F.col("a"), F.col("t")).alias("v"), "c").alias("h"))
+        return pairs.groupBy("node", by).agg(F.collect_list("h").alias("hs")).select("node", by, *_weighted(F.col("hs"), mode))
+
+    a, b = sized(rows, "id"), sized(near, "t")
+    out = compared(a.filter("large IS NULL").drop("large"), b.filter("large IS NULL").drop("large"), "id").drop("node")
+    if not large.limit(1).count():
+        return out
+    a, b = cut(a.filter("large").drop("large")), b.filter("large").drop("large")
+    kind = dict(rows.dtypes)["a"]
+    mine = cut(a.groupBy("node", "a").agg(F.count("*").alias("n")))
+    if kind.startswith("array"):
+        cells = mine.groupBy("node").agg(F.count("*").alias("g")).join(large.select("node", "m"), "node").select("node", *(F.ceil(F.col(c) / size).cast("int").alias(c) for c, size in (("g", CELL[0]), ("m", CELL[1]))))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x, y = (salted_join(t, cells, ["node"], heavy, [by]) for t, by in ((mine, "a"), (b, "t")))
+        x = x.select("node", "a", F.pmod(F.xxhash64("a"), F.col("g")).cast("int").alias("i"), every("m").alias("j"))
+        y = y.select("node", "t", "c", F.pmod(F.xxhash64("t"), F.col("m")).cast("int").alias("j"), every("g").alias("i"))
+
+        def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            hs = [[{"v": v, "c": n} for v, n in h] for h in _jaccard_cell(list(x["a"]), list(y["t"]), list(y["c"]))] if len(x) and len(y) else [[]] * len(x)
+            return pd.DataFrame({"node": x["node"], "a": x["a"], "hs": pd.Series(hs, index=x.index, dtype=object)})
+
+        parts = x.groupBy("node", "i", "j").cogroup(y.groupBy("node", "i", "j")).applyInPandas(run, f"node long, a {kind}, hs array<struct<v:double,c:bigint>>")
+        stats = parts.groupBy("node", "a").agg(F.flatten(F.collect_list("hs")).alias("hs")).select("node", "a", *_weighted(F.col("hs"), mode))
+    else:
+        stats = compared(mine.drop("n"), b, "a")
+    often = mine.filter(F.col("n") > F.lit(least)).select("node", "a")
+    return out.union(salted_join(a, stats, ["node", "a"], often, ["id"]).select(out.columns))
+
+
+def _whole_sql(mode: str, value: str) -> str:
+    from twinfold.operators.pairs import _TOK
+
+    tok = lambda c: _TOK.replace("{c}", c)
+    key = {"own": "qid1", "cross": "qid2"}[mode]
+    return f"""WITH t AS (SELECT * FROM train WHERE qid1 <> qid2 AND question1 IS NOT NULL AND question2 IS NOT NULL), e AS (SELECT qid1 AS node, qid2 AS nb, question2 AS text FROM t UNION ALL SELECT qid2, qid1, question1 FROM t),
+o AS (SELECT node, nb, min(text) AS text FROM e GROUP BY 1, 2), f AS (SELECT node, {tok('text')} AS t FROM o), p AS (SELECT id, {key} AS node, {tok('question1')} AS a FROM t), v AS (SELECT id, {value} AS v FROM p JOIN f USING (node))
+SELECT id, round(avg(v), 7) AS {mode}_mean, round(sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)), 5) AS {mode}_std, round(max(v), 7) AS {mode}_max, round(min(v), 7) AS {mode}_min, round(median(v), 7) AS {mode}_median FROM v GROUP BY id"""
+
+
+def _token_set(tokens: Column) -> Column:
+    return F.array_sort(F.array_distinct(tokens))
+
+
+@query(_whole_sql("own", _J))
+def neighbour_jaccard_own_all(spark: SparkSession, d: str) -> DataFrame:
+    """``neighbour_jaccard_own`` over all neighbours, with the median."""
+    return whole_neighbour_agg(spark, d, _token_set, jaccard, "own")
+
+
+@query(_whole_sql("cross", _J))
+def neighbour_jaccard_cross_all(spark: SparkSession, d: str) -> DataFrame:
+    """``neighbour_jaccard_cross`` over all neighbours, with the median."""
+    return whole_neighbour_agg(spark, d, _token_set, jaccard, "cross")
+
+
+@query(_whole_sql("cross", "CAST(abs(len(a) - len(t)) AS DOUBLE)"))
+def neighbour_length_cross_all(spark: SparkSession, d: str) -> DataFrame:
+    """``neighbour_length_cross`` over all neighbours, with the median."""
+    return whole_neighbour_agg(spark, d, F.size, lambda x, y: F.abs(x - y).cast("double"), "cross")
