@@ -185,6 +185,20 @@ def test_pairs_of_words(spark, monkeypatch):
     assert seen[0] == seen[1]
 
 
+def test_rare_pairs_of_words_are_kept(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choices("abcdefgh", k=3)), " ".join(rng.choices("abcdefgh", k=3)), 1) for _ in range(400)] + [("rare", "thing", 1)] * 3
+    spark.createDataFrame(rows, "question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
+    want = {}
+    for a, b, _ in rows:
+        for p in {tuple(sorted((u, v))) for u in a.split() for v in b.split() if u != v}:
+            want[p] = want.get(p, 0) + 1
+    got = {(r.term_a, r.term_b): r for r in together.p4_pairs(spark, str(tmp_path)).collect()}
+    assert {k: r.n_ab for k, r in got.items()} == want
+    assert got["rare", "thing"].q_value < 0.01
+    assert got["rare", "thing"].q_value >= got["rare", "thing"].p_value * 45  # ten words have 45 pairs
+
+
 def test_null_keeps_frequencies_and_sizes():
     import numpy as np
 

@@ -4,7 +4,7 @@ Baskets are the two questions of a record, items their distinct words; two words
 record if one is in one question and the other in the other. The null model gives word i a chance
 x_i y_s / (1 + x_i y_s) of being in a basket of size s, fitted so that expected word frequencies and basket
 sizes are the observed ones. Counts are then Poisson-binomial; upper tails come from the saddle-point
-approximation and are controlled for the false-discovery rate over all counted pairs.
+approximation and are controlled for the false-discovery rate over all pairs of the words, seen together or not.
 """
 
 from __future__ import annotations
@@ -160,7 +160,8 @@ def pair_surprise(df: DataFrame, q1: str = "question1", q2: str = "question2", l
 
     All pairs of words that occur together in at least ``least`` records and a ``share`` of the n records
     without a null question. A word of such a pair is itself in so many records, which bounds the words
-    by (mean words of a record) / share; only their pairs are counted. Records with an empty question
+    by (mean words of a record) / share; only their pairs are counted. ``least`` 1 and ``share`` 0 prune nothing.
+    The q-value counts every pair of those words as a test. Records with an empty question
     count in n and hold no pair. Repeated records count each time. An empty table gives no rows.
     """
     spark = df.sparkSession
@@ -186,7 +187,7 @@ def pair_surprise(df: DataFrame, q1: str = "question1", q2: str = "question2", l
         out = out.union(x)
     pairs = cut(out)
     bins = pairs.groupBy(_bin(F.col("p_value")).alias("k")).count().collect()  # at most 4,097 rows
-    q, rank, tests = {}, 0, sum(r["count"] for r in bins)
+    q, rank, tests = {}, 0, size * (size - 1) // 2
     for r in sorted(bins, key=lambda r: r.k):
         rank += r["count"]
         q[r.k] = tests / rank
@@ -223,33 +224,50 @@ def _slice(spark: SparkSession, b: DataFrame, held: list[tuple[str, int, int, in
     shared = spark.sparkContext.broadcast((names, np.array(part)))
     frequency, of_class, y, at1, at2, number = null
     near = np.searchsorted((frequency[1:] + frequency[:-1]) / 2, baskets_of)
-    x = of_class[near]
     counted = b.mapInArrow(_count(shared, own), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor)
     schema = "term_a string, term_b string, n_ab long, n_a long, n_b long, expected double, p_value double"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, _ = shared.value
+        known: dict[tuple[int, int, int], tuple[float, float]] = {}  # words of equal frequency have equal chances
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                a, c, n = (batch.column(i)[k : k + 500].to_numpy(zero_copy_only=False) for i in range(3))
-                pa_, pb_ = (1 - 1 / (1 + np.outer(x[v], y)) for v in (a, c))
-                p = 1 - (1 - pa_[:, at1] * pb_[:, at2]) * (1 - pb_[:, at1] * pa_[:, at2])
-                mean, tail = upper_tail(n.astype(float), p, number)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a], pa.string()), pa.array([names[i] for i in c], pa.string()), pa.array(n), pa.array(of[a]), pa.array(of[c]), pa.array(mean), pa.array(tail)], names=["term_a", "term_b", "n_ab", "n_a", "n_b", "expected", "p_value"])
+            a, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            kinds, inv = np.unique(np.stack([np.minimum(near[a], near[c]), np.maximum(near[a], near[c]), n]), axis=1, return_inverse=True)
+            kinds, inv = list(zip(*kinds.tolist())), inv.reshape(-1)
+            fresh = [k for k in kinds if k not in known]
+            for k in range(0, len(fresh), 500):
+                u, v, m = (np.array(z) for z in zip(*fresh[k : k + 500]))
+                pu, pv = (1 - 1 / (1 + np.outer(of_class[z], y)) for z in (u, v))
+                p = 1 - (1 - pu[:, at1] * pv[:, at2]) * (1 - pv[:, at1] * pu[:, at2])
+                known.update(zip(fresh[k : k + 500], zip(*(z.tolist() for z in upper_tail(m.astype(float), p, number)))))
+            mean, tail = np.array([known[k] for k in kinds]).reshape(-1, 2)[inv].T
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a], pa.string()), pa.array([names[i] for i in c], pa.string()), pa.array(n), pa.array(of[a]), pa.array(of[c]), pa.array(mean), pa.array(tail)], names=["term_a", "term_b", "n_ab", "n_a", "n_b", "expected", "p_value"])
+            if len(known) > HELD:
+                known.clear()
 
     return counted.mapInArrow(judge, schema)
 
 
+def _duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/train.parquet").filter("is_duplicate = 1")
+
+
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return pair_surprise(spark.read.parquet(f"{d}/train.parquet").filter("is_duplicate = 1"))
+    """All pairs of words that occur together at least once."""
+    return pair_surprise(_duplicates(spark, d), least=1, share=0)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs that occur together five times as often as by chance, and in a thousandth of the rows."""
-    return p4_pairs(spark, d).filter("n_ab >= 6 and 1000 * n_ab >= n and n_ab * n >= 5 * n_a * n_b").select("term_a", "term_b")
+    return pair_surprise(_duplicates(spark, d)).filter("n_ab >= 6 and 1000 * n_ab >= n and n_ab * n >= 5 * n_a * n_b").select("term_a", "term_b")
 
 
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of pairs in a thousandth of the rows, as the SQL has them; ``p4_counts_all`` gives all."""
+    return pair_surprise(_duplicates(spark, d)).select("term_a", "term_b", "n_ab", "n_a", "n_b", "n")
+
+
+def p4_counts_all(spark: SparkSession, d: str) -> DataFrame:
     return p4_pairs(spark, d).select("term_a", "term_b", "n_ab", "n_a", "n_b", "n")
 
 
@@ -261,5 +279,6 @@ j AS (SELECT term_a, term_b, n_ab, ia.c AS n_a, ib.c AS n_b, n FROM p JOIN i AS
 SQL = {
     "p4_found": f"WITH {_C} SELECT term_a, term_b FROM j WHERE n_ab * n >= 5 * n_a * n_b",
     "p4_counts": f"WITH {_C} SELECT term_a, term_b, n_ab, n_a, n_b, n FROM j",
+    "p4_counts_all": f"WITH {_C.replace(' WHERE n_ab >= 6 AND 1000 * n_ab >= n', '')} SELECT term_a, term_b, n_ab, n_a, n_b, n FROM j",
 }
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_counts": p4_counts}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_counts": p4_counts, "p4_counts_all": p4_counts_all}
