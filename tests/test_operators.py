@@ -217,3 +217,21 @@ def test_all_neighbours_count(spark, tmp_path, monkeypatch, few):
             want = (statistics.mean(v), statistics.pstdev(v), max(v), min(v), statistics.median(v))
             assert [got[i][f"{mode}_{k}"] for k in ("mean", "std", "max", "min", "median")] == pytest.approx(want, abs=6e-6)
     assert {r["id"]: r.own_max for r in graph.neighbour_jaccard_own_all(spark, str(tmp_path)).collect()}[0] == 1.0
+
+
+def test_pagerank_converges(spark, tmp_path):
+    rng = random.Random(4)
+    arcs = {(a, b) for a, b in ((rng.randrange(40), rng.randrange(30)) for _ in range(90)) if a != b} | {(k, k + 1) for k in range(50, 75)}
+    spark.createDataFrame([(a, b) for a, b in sorted(arcs)], "qid1 long, qid2 long").write.parquet(f"{tmp_path}/train.parquet")
+    nodes = sorted({n for p in arcs for n in p})
+    out = {n: [b for a, b in arcs if a == n] for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(400):
+        nxt = dict.fromkeys(nodes, 0.1 / len(nodes) + 0.9 * sum(rank[n] for n in nodes if not out[n]) / len(nodes))
+        for a, b in arcs:
+            nxt[b] += 0.9 * rank[a] / len(out[a])
+        rank = nxt
+    got = {r.node: r["rank"] for r in graph.pagerank_directed_converged(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(rank, rel=1e-5)
+    with pytest.raises(RuntimeError):
+        graph.pagerank(spark.createDataFrame(sorted(arcs), "src long, dst long"), 3, 0.9, 1e-12)

@@ -58,6 +58,15 @@ def drop_cuts(spark: SparkSession) -> int:
     return len(paths)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete the one table that ``cut`` gave as ``df``, once nothing reads it."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for parent in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python workers can import it wherever they start."""
     app = spark.sparkContext.applicationId
