@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinfold.functions import text
-from twinfold.operators import encode, graph, pairs, skew, structure, vectors
+from twinfold.operators import corpus, encode, graph, pairs, skew, structure, vectors
 from twinfold.sources import io
 
 
@@ -235,3 +235,11 @@ def test_pagerank_converges(spark, tmp_path):
     assert got == pytest.approx(rank, rel=1e-5)
     with pytest.raises(RuntimeError):
         graph.pagerank(spark.createDataFrame(sorted(arcs), "src long, dst long"), 3, 0.9, 1e-12)
+
+
+def test_patterns_of_question2(spark, tmp_path):
+    rows = [(i, "how do i sing", "what is it", 0) for i in range(5)] + [(9, "", "so how do i sing", 0)]
+    spark.createDataFrame(rows, "id long, question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
+    got = {r["id"]: r for r in corpus.pattern_one_hot_both(spark, str(tmp_path)).collect()}
+    assert got[9].on1 == "" and got[9].on2 and set(got[0].on1.split()) <= set(got[9].on2.split())
+    assert got[0].on2 and not set(got[0].on1.split()) & set(got[0].on2.split())

@@ -284,6 +284,19 @@ def pattern_one_hot(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", F.expr("array_join(filter(transform(g, (x, i) -> CASE WHEN contains(s, x) THEN CAST(i + 1 AS STRING) END), z -> z IS NOT NULL), ' ')").alias("on1"))
 
 
+_ON = "array_to_string(list_filter(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN contains({s}, g[i]) THEN CAST(i AS VARCHAR) END), lambda z: z IS NOT NULL), ' ')"
+
+
+@query(_PREFIX + _CLOSED + f", g AS (SELECT list(prefix ORDER BY prefix) AS g FROM c WHERE k >= 2) SELECT id, {_ON.replace('{s}', 's')} AS on1, {_ON.replace('{s}', 't')} AS on2 FROM (SELECT id, array_to_string(a, ' ') AS s, array_to_string(b, ' ') AS t FROM p), g")
+def pattern_one_hot_both(spark: SparkSession, d: str) -> DataFrame:
+    """``pattern_one_hot`` with the patterns of question2 too: the set places of both halves of the one-hot row."""
+    df = pair_rows(spark, d)
+    found = F.broadcast(closed_prefixes(prefix_levels(df)).filter("k >= 2").agg(F.array_sort(F.collect_list("prefix")).alias("g")))
+    t = df.select("id", F.array_join("a", " ").alias("s"), F.array_join("b", " ").alias("t")).crossJoin(found)  # one row
+    on = "array_join(filter(transform(g, (x, i) -> CASE WHEN contains({s}, x) THEN CAST(i + 1 AS STRING) END), z -> z IS NOT NULL), ' ')"
+    return t.select("id", *(F.expr(on.replace("{s}", c)).alias(f"on{k}") for k, c in ((1, "s"), (2, "t"))))
+
+
 @query(f"WITH {_Q.split(', c AS')[0].split(' UNION ALL SELECT question1 FROM test')[0]}), c AS (SELECT q, count(*) AS n FROM q WHERE q IS NOT NULL GROUP BY q), b AS (SELECT least(question1, question2) AS lo, greatest(question1, question2) AS hi, count(*) AS both_n FROM train WHERE question1 IS NOT NULL AND question2 IS NOT NULL AND question1 <> question2 GROUP BY 1, 2) SELECT id, c1.n + c2.n - both_n - 1 AS row_degree FROM train JOIN c AS c1 ON question1 = c1.q JOIN c AS c2 ON question2 = c2.q JOIN b ON lo = least(question1, question2) AND hi = greatest(question1, question2)")
 def row_graph_degree(spark: SparkSession, d: str) -> DataFrame:
     """Other rows that share a question with a row, counted from question counts; rows with equal or null questions are left out.
