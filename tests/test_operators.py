@@ -243,3 +243,14 @@ def test_patterns_of_question2(spark, tmp_path):
     got = {r["id"]: r for r in corpus.pattern_one_hot_both(spark, str(tmp_path)).collect()}
     assert got[9].on1 == "" and got[9].on2 and set(got[0].on1.split()) <= set(got[9].on2.split())
     assert got[0].on2 and not set(got[0].on1.split()) & set(got[0].on2.split())
+
+
+def test_padding_keeps_all_words_of_both_questions(spark, tmp_path):
+    long = " ".join(f"w{i:02}" for i in range(40))
+    spark.createDataFrame([(1, long, "w01 w00", 0), (2, None, "w00", 1)], "id long, question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
+    got = {r["id"]: r for r in encode.padded_sequences_both(spark, str(tmp_path)).collect()}
+    order = ["w00", "w01", *(f"w{i:02}" for i in range(2, 40))]  # by frequency, then by the word
+    number = {w: str(i + 2) for i, w in enumerate(order)}
+    assert got[1].pre1.split() == got[1].post1.split() == [number[w] for w in long.split()]
+    assert got[1].post2.split() == [number["w01"], number["w00"], *["0"] * 38]
+    assert got[2].pre1.split() == ["0"] * 40 and got[2].pre2.split() == [*["0"] * 39, number["w00"]]

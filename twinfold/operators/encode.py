@@ -150,6 +150,37 @@ def padded_sequences(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", F.array_join(padded(F.col("ids")), " ").alias("pre"), F.array_join(padded(F.col("ids"), post=True), " ").alias("post"))
 
 
+#: Words that get a number of their own in ``padded_sequences_both``.
+VOCABULARY = 200_000
+_FILL = "list_transform(range(0, n - len(ids{k})), lambda z: CAST(0 AS BIGINT))"
+
+
+@query(f"""WITH {PAIR_SQL}, s AS (SELECT unnest(a) AS w FROM p UNION ALL SELECT unnest(b) FROM p), c AS (SELECT w, count(*) AS freq FROM s GROUP BY w), t AS (SELECT * FROM c ORDER BY freq DESC, w LIMIT {VOCABULARY}), v AS (SELECT w, row_number() OVER (ORDER BY freq DESC, w) + 1 AS idx FROM t),
+x AS (SELECT id, 1 AS side, unnest(a) AS w, unnest(range(0, len(a))) AS pos FROM p UNION ALL SELECT id, 2, unnest(b), unnest(range(0, len(b))) FROM p), i AS (SELECT id, side, list(coalesce(idx, 1) ORDER BY pos) AS ids FROM x LEFT JOIN v USING (w) GROUP BY id, side),
+m AS (SELECT greatest(max(len(a)), max(len(b))) AS n FROM p), j AS (SELECT p.id, coalesce(i1.ids, CAST([] AS BIGINT[])) AS ids1, coalesce(i2.ids, CAST([] AS BIGINT[])) AS ids2, n FROM p LEFT JOIN i AS i1 ON i1.id = p.id AND i1.side = 1 LEFT JOIN i AS i2 ON i2.id = p.id AND i2.side = 2, m)
+SELECT id, """ + ", ".join(f"array_to_string(concat({_FILL.replace('{k}', k)}, ids{k}), ' ') AS pre{k}, array_to_string(concat(ids{k}, {_FILL.replace('{k}', k)}), ' ') AS post{k}" for k in "12") + " FROM j")
+def padded_sequences_both(spark: SparkSession, d: str) -> DataFrame:
+    """Word numbers of both questions, padded to the longest question, so that no word is cut off.
+
+    The vocabulary of 200,000 words is joined by key, frequent words salted; 1 for words outside it.
+    """
+    from pyspark.sql import Window
+
+    from twinfold.operators.corpus import heavy_words, token_freq
+
+    df = pair_rows(spark, d)
+    freq = token_freq(sided(df))
+    first = F.row_number().over(Window.orderBy(F.desc("freq"), "w")) + 1  # over 200,000 rows
+    vocab = freq.orderBy(F.desc("freq"), "w").limit(VOCABULARY).select("w", first.cast("int").alias("idx"))
+    longest, rows = df.agg(F.max(F.greatest(F.size("a"), F.size("b"))), F.count("*")).first()
+    each = [df.select("id", F.lit(k).alias("side"), F.posexplode_outer(c).alias("pos", "w")) for k, c in ((1, "a"), (2, "b"))]
+    j = salted_join(each[0].union(each[1]), vocab, ["w"], heavy_words(freq, rows), ["id", "side", "pos"], how="left")
+    word = F.when(F.col("w").isNotNull(), F.struct("side", "pos", F.coalesce("idx", F.lit(1)).alias("idx")))
+    j = j.groupBy("id").agg(F.array_sort(F.collect_list(word)).alias("ws"))
+    j = j.select("id", *(F.expr(f"transform(filter(ws, x -> x.side = {k}), x -> x.idx)").alias(f"ids{k}") for k in (1, 2)))
+    return j.select("id", *(F.array_join(padded(F.col(f"ids{k}"), longest or 0, post), " ").alias(f"{name}{k}") for k in (1, 2) for name, post in (("pre", False), ("post", True))))
+
+
 @query(f"WITH {PAIR_SQL} SELECT id, array_to_string(list_transform(a, lambda w: CASE WHEN list_contains(b, w) THEN '0' ELSE '1' END), '') AS only1, array_to_string(list_transform(b, lambda w: CASE WHEN list_contains(a, w) THEN '1' ELSE '0' END), '') AS shared2 FROM p")
 def diff_masks(spark: SparkSession, d: str) -> DataFrame:
     """Masks of question1's words that question2 lacks, and of question2's words that question1 has."""
