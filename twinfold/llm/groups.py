@@ -1,8 +1,10 @@
 """Consolidating pairwise matches into groups (problem 3).
 
 Union-find within edge partitions; only spanning forests are kept, and forests are merged in partitions
-of bounded size until the components are whole. Where the forests together exceed one task, every
-partition's trees are contracted to their roots first and the smaller graph is merged in their place.
+of bounded size until the components are whole. While the forests together exceed one task, a round
+contracts every node to a neighbour, the first by a hashed order that changes from round to round, and the
+forests of the smaller graph take their place. A hashed order, unlike that of the ids, can't run along a
+chain: about half the nodes of a chain go in every round, and all but the roots of a star.
 """
 
 from __future__ import annotations
@@ -16,15 +18,31 @@ from pyspark.sql import functions as F
 
 from twinfold.functions.text import bare
 from twinfold.operators.skew import HEAVY_SHARE, salted_join
-from twinfold.session import cut
+from twinfold.session import cut, drop_cut
 
 #: Edges that one task may hold.
 PER_TASK = 2_000_000
+#: Rounds of contraction, and the share of the edges that two rounds must take off: beyond that the merge fails loudly.
+MOST_ROUNDS, LEAST_GAIN = 60, 0.1
+STARS = "node long, root long, rank long"
 
 
-def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union-find over edges: all nodes, and for each the smallest node of its tree."""
+def ranks(nodes: np.ndarray, seed: int) -> np.ndarray:
+    """A hashed order of nodes, another one for every seed."""
+    z = nodes.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).view(np.int64)
+
+
+def roots(a: np.ndarray, b: np.ndarray, seed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Union-find over edges: all nodes, and for each the first node of its tree, by id or by the hashed order of ``seed``."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if seed is not None:
+        order = np.lexsort((nodes, ranks(nodes, seed)))
+        place = np.empty(len(nodes), np.int64)
+        place[order] = np.arange(len(nodes))
+        nodes, at = nodes[order], place[at]
     up = list(range(len(nodes)))
     n = len(a)
     for x, y in zip(at[:n].tolist(), at[n:].tolist()):
@@ -44,50 +62,88 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[top]
 
 
-def _forest(limit: int):
-    """Stars of the trees in a partition, (node, root) with each root's own row; held edges are contracted at every ``limit``."""
+def _forest(limit: int, seed: int | None):
+    """Stars of a partition's trees, (node, root, rank of the root); held edges are contracted at every ``limit``, and sent on if still more.
+
+    Without a seed roots are the smallest nodes, and have a row of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+
+        def out(nodes: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if seed is not None:
+                keep = nodes != root
+                nodes, root = nodes[keep], root[keep]
+            rank = ranks(root, seed or 0)
+            for k in range(0, len(nodes), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (nodes, root, rank)], names=["node", "root", "rank"])
+
         for batch in batches:
             held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
             size += batch.num_rows
             if size > 2 * limit:
-                held = [roots(*map(np.concatenate, zip(*held)))]
+                held = [roots(*map(np.concatenate, zip(*held)), seed)]
                 size = len(held[0][0])
+                if size > limit and seed is not None:
+                    yield from out(*held[0])
+                    held, size = [], 0
         if held:
-            nodes, root = roots(*map(np.concatenate, zip(*held)))
-            for k in range(0, len(nodes), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 100_000]), pa.array(root[k : k + 100_000])], names=["node", "root"])
+            yield from out(*roots(*map(np.concatenate, zip(*held)), seed))
 
     return run
 
 
-def components(edges: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+def components(edges: DataFrame, per_task: int = PER_TASK, sizes: list[int] | None = None) -> DataFrame:
     """(node, root): every node of ``edges`` (two long columns) with the smallest node of its component.
 
-    Null ends and loops are left out; repeated edges don't matter; no edges give no rows.
+    Null ends and loops are left out; repeated edges don't matter; no edges give no rows. ``sizes`` is given the number
+    of forest edges before every round. Raises if rounds don't get on, which a hashed order makes as good as impossible.
+
+    In a round, a node's row per partition names its root there, which comes before it in the hashed order; the node is
+    contracted to the first of these roots, as is the root to its own. So a node has a row per partition at most,
+    while a root may have any number of nodes: rows of such roots are salted.
     """
     a, b = (F.col(c) for c in edges.columns[:2])
     e = edges.select(a.cast("long").alias("a"), b.cast("long").alias("b")).filter("a != b")
-    stars = "node long, root long"
-    forest = cut(e.mapInArrow(_forest(per_task), stars))
+    forest = cut(e.mapInArrow(_forest(per_task, 0), STARS))
     levels: list[DataFrame] = []
+    sizes = [] if sizes is None else sizes
     while (n := forest.count()) > per_task:
-        x, y = F.col("node"), F.col("root")
-        flip = F.xxhash64(x) > F.xxhash64(y)
-        owner, other = F.when(flip, x).otherwise(y), F.when(flip, y).otherwise(x)
-        parts = forest.repartition(2 * -(-n // per_task), owner, F.pmod(F.xxhash64(other), F.lit(32)))
-        local = cut(parts.mapInArrow(_forest(per_task), stars))
-        up = cut(local.groupBy("node").agg(F.min("root").alias("up")))
+        sizes.append(n)
+        if len(sizes) > MOST_ROUNDS or (len(sizes) > 2 and n > (1 - LEAST_GAIN) * sizes[-3]):
+            raise RuntimeError(f"forests aren't merged after {len(sizes)} rounds: {sizes[-3:]} edges")
+        per_node = cut(forest.groupBy("node").agg(F.min(F.struct("rank", "root"))["root"].alias("up"), F.collect_set("root").alias("roots")))
+        up = per_node.select("node", "up")
         levels.append(up)
-        rest = local.join(up, "node").filter("root != up").select(F.col("up").alias("a"), F.col("root").alias("b"))
-        forest = cut(rest.distinct().mapInArrow(_forest(per_task), stars))
-    found = forest.coalesce(1).mapInArrow(_forest(per_task), stars)
+        edges_left = per_node.select("up", F.explode("roots").alias("root"))
+        heavy = _hubs(edges_left, "root", n)
+        moved = salted_join(edges_left, up.withColumnRenamed("node", "root").withColumnRenamed("up", "to"), ["root"], heavy, ["up"], how="left")
+        rest = moved.select(F.col("up").alias("a"), F.coalesce("to", "root").alias("b")).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        smaller = cut(rest.mapInArrow(_forest(per_task, len(sizes)), STARS))
+        drop_cut(forest)
+        forest = smaller
+    sizes.append(n)
+    found = forest.select("node", "root").coalesce(1).mapInArrow(_forest(per_task, None), STARS).select("node", "root")
+    if not levels:
+        return found
     for up in reversed(levels):
-        found = up.join(found.withColumnRenamed("node", "up"), "up", "left").select("node", F.coalesce("root", "up").alias("root"))
-    return found
+        found = cut(found)
+        own = salted_join(up, found.withColumnRenamed("node", "up"), ["up"], _hubs(up, "up", n), ["node"], how="left").select("node", F.coalesce("root", "up").alias("root"))
+        tops = up.select(F.col("up").alias("node")).distinct().join(up.select("node"), "node", "left_anti")  # contracted to, but not themselves
+        tops = tops.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        rest = found.join(up.select("node"), "node", "left_anti").join(tops.select("node"), "node", "left_anti")
+        found = own.union(tops).union(rest)
+    found = cut(found)
+    least = found.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("k"))
+    heavy = least.filter(F.col("k") > F.lit(max(1000.0, HEAVY_SHARE * found.count()))).select("root")
+    return salted_join(found, least.select("root", "least"), ["root"], heavy, ["node"]).select("node", F.col("least").alias("root"))
+
+
+def _hubs(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Keys with more than a thousandth of the n rows."""
+    return df.groupBy(key).agg(F.count("*").alias("k")).filter(F.col("k") > F.lit(max(1000.0, HEAVY_SHARE * n))).select(key)
 
 
 def question_links(df: DataFrame, label: str = "is_duplicate") -> DataFrame:
