@@ -83,11 +83,64 @@ def test_scores_sum_over_segmentations(model):
     def brute(w):
         if not w:
             return np.ones(m.p.shape[1])
-        return sum((m.p[m.rows[w[:k]]] * brute(w[k:]) for k in range(1, min(len(w), language.LONGEST_PIECE) + 1) if w[:k] in m.rows), np.zeros(m.p.shape[1]))
+        return sum((m.p[m.rows[w[:k]]] * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in m.rows), np.zeros(m.p.shape[1]))
 
     for w in ("cat", "schön", "日本"):
         assert np.allclose(m.scores([w])[0], np.log(brute(language._raw(w))))
-    assert np.allclose(m.p[:-1].sum(0), 1)
+    assert np.allclose(m.p.sum(0), 1)
+
+
+def test_long_words_are_scored_whole(model):
+    """A word of 200 bytes and more against plain sums in exact numbers; pieces of any length count."""
+    from fractions import Fraction
+
+    import numpy as np
+
+    m = model[0]
+    for w in ("donaudampfschifffahrts" * 10, "日本語の文章" * 15, "x" * 300):
+        raw = language._raw(w)
+        assert len(raw) > 200
+        got = m.scores([w, "short"])[0]
+        for lang in (0, m.p.shape[1] - 1):
+            a = [Fraction(1)] + [Fraction(0)] * len(raw)
+            for e in range(1, len(raw) + 1):
+                for k in range(1, min(e, 130) + 1):
+                    r = m.rows.get(raw[e - k : e])
+                    if r is not None:
+                        a[e] += a[e - k] * Fraction(float(m.p[r, lang]))
+            want = _log(a[-1])
+            assert abs(got[lang] - want) < 1e-9 * abs(want)
+    assert max(map(len, m.rows)) > 12
+
+
+def _log(x):
+    """Natural logarithm of a fraction too small for a float."""
+    import math
+
+    shift = x.denominator.bit_length() - x.numerator.bit_length()
+    return math.log(float(x * 2**shift)) - shift * math.log(2)
+
+
+def test_confidence_is_that_of_the_judged_language():
+    import numpy as np
+
+    total = np.array([[0.0, -30.0, -40.0], [-2.0, 0.0, -40.0], [0.0, -30.0, -40.0]])
+    judged = language.smoothed(total[:, :2].argmax(1), total)
+    assert judged.tolist() == [0, 0, 0]  # the change costs more than the middle sentence gains
+    sure = language.confidence(total, judged)
+    assert sure[0] > 0.99 and abs(sure[1] - np.exp(-2) / (1 + np.exp(-2))) < 1e-9
+    assert language.confidence(np.zeros((0, 3)), np.zeros(0, int)).shape == (0,)
+    assert language.confidence(total, np.array([-1, 1, 0]))[0] == 0
+
+
+def test_fit_raises_the_chance_of_what_it_saw(model):
+    from collections import Counter
+
+    m = language.Model(["a", "b"], language.default_vocabulary())
+    seen = [Counter({"donaudampfschifffahrtsgesellschaft" * 4: 3, "das": 5}), Counter({"日本語の文章" * 9: 2, "the": 5})]
+    m.fit(seen, 2)
+    s = m.scores(list(seen[0]) + list(seen[1]))
+    assert (s[:2, 0] > s[:2, 1] + 1).all() and (s[2:, 1] > s[2:, 0] + 1).all()
 
 
 GERMAN = "Ich habe das letztes Jahr schon gefragt und niemand hat geantwortet. Das ist vielleicht bei euch anders. Wir haben dafür bezahlt und würden das nie wieder machen."

@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 #: Documents, and characters of each, that the second fit may read.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 5000
-LONGEST_PIECE = 12
 MIX = 0.2
+#: Bytes of the words that are scored together; positions after which sums are scaled.
+TOGETHER, SCALED = 32_768, 24
 #: Nats that a change of language between neighbouring sentences costs.
 SWITCH = 4.0
 REMEMBERED = 300_000
-WORD = re.compile("[a-zß-öø-ɏḀ-ỿ]+|[぀-ヿ㐀-鿿ｦ-ﾟ]{1,6}|[^\\W\\d_a-zß-öø-ɏḀ-ỿ぀-ヿ㐀-鿿ｦ-ﾟ]{1,12}")
+WORD = re.compile("[a-zß-öø-ɏḀ-ỿ]+|[぀-ヿ㐀-鿿ｦ-ﾟ]+|[^\\W\\d_a-zß-öø-ɏḀ-ỿ぀-ヿ㐀-鿿ｦ-ﾟ]+")
 MARKUP = re.compile(r"<[^<>]{1,200}>|&#?\w{1,10};|https?://\S+|www\.\S+")
 QUOTED = re.compile("\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|„[^“”\n]{1,80}[“”]|«[^»\n]{1,80}»|「[^」\n]{1,40}」")
 ENDS = re.compile(r"[^.!?。！？…\n]+(?:[.!?…]+(?=\s|$|[\"'”»)\]])|[。！？]+|\n|$|[.!?…]+)")
@@ -55,99 +56,112 @@ def sentences(text: str) -> list[str]:
     return [s for s in out if any(c.isalpha() for c in s)]
 
 
+Arcs = list[list[tuple[int, np.ndarray, np.ndarray]]]
+
+
 class Model:
-    """Piece probabilities of the languages; the last column is the background."""
+    """Probabilities of all pieces of the vocabulary per language; the last column is the background."""
 
     def __init__(self, langs: list[str], path: str):
         self.langs = langs
         self.rows: dict[bytes, int] = {}
         for line in Path(path).read_bytes().splitlines():
-            piece = base64.b64decode(line.split()[0])
-            if len(piece) <= LONGEST_PIECE:
-                self.rows[piece] = len(self.rows)
+            self.rows[base64.b64decode(line.split()[0])] = len(self.rows)
+        self.longest: dict[bytes, int] = {}  # last two bytes -> longest piece that ends so
+        for piece in self.rows:
+            self.longest[piece[-2:]] = max(self.longest.get(piece[-2:], 1), len(piece))
         plain = np.array([0.1 ** len(p) for p in self.rows])
         self.plain = plain / plain.sum()
-        self.p = np.zeros((len(self.rows) + 1, len(langs) + 1))  # the last row, for no piece, stays 0
+        self.p = np.zeros((len(self.rows), len(langs) + 1))
 
-    def arcs(self, words: list[bytes]) -> np.ndarray:
-        """[word, end, length]: row of the piece of that length that ends there, the last row for none."""
-        longest = max(map(len, words))
-        out = np.full((len(words), longest + 1, LONGEST_PIECE + 1), len(self.rows), np.int32)
-        get = self.rows.get
+    def arcs(self, words: list[bytes], backward: bool = False) -> Arcs:
+        """Per end: (length, words, rows) of the pieces of that length that end there; ``backward``: of those that begin so far from the word's end."""
+        ends: list[dict[int, tuple[list[int], list[int]]]] = [{} for _ in range(max(map(len, words)))]
+        get, longest = self.rows.get, self.longest.get
         for i, w in enumerate(words):
-            for e in range(1, len(w) + 1):
-                for k in range(1, min(e, LONGEST_PIECE) + 1):
+            n = len(w)
+            for e in range(1, n + 1):
+                for k in range(1, min(e, longest(w[max(e - 2, 0) : e], 1)) + 1):
                     r = get(w[e - k : e])
                     if r is not None:
-                        out[i, e, k] = r
-        return out
-
-    def forward(self, arcs: np.ndarray) -> np.ndarray:
-        """[end, word, language]: summed chances of all segmentations up to each end."""
-        n, ends, _ = arcs.shape
-        a = np.zeros((ends, n, self.p.shape[1]))
-        a[0] = 1
-        for e in range(1, ends):
-            for k in range(1, min(e, LONGEST_PIECE) + 1):
-                a[e] += a[e - k] * self.p[arcs[:, e, k]]
-        return a
+                        ws, rs = ends[n - e + k - 1 if backward else e - 1].setdefault(k, ([], []))
+                        ws.append(i)
+                        rs.append(r)
+        return [[(k, np.array(ws), np.array(rs)) for k, (ws, rs) in sorted(at.items())] for at in ends]
+
+    def sums(self, arcs: Arcs, n: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values and offsets of [position, word, language]: the log of the summed chances of all segmentations so far is log value + offset.
+
+        The chance of a long word is less than a float can hold. So every SCALED positions the sums that later ones still
+        need are scaled, per word and language; the state is carried on, no word is cut.
+        """
+        reach = max((k for at in arcs for k, _, _ in at), default=1)
+        values, offsets = np.zeros((len(arcs) + 1, n, p.shape[1])), np.zeros((len(arcs) + 1, n, p.shape[1]))
+        values[0] = 1
+        held, offset = {0: values[0]}, offsets[0]
+        for e, at in enumerate(arcs, 1):
+            if e % SCALED == 0:
+                top = np.max(list(held.values()), axis=0)
+                top[top == 0] = 1  # of words that have ended
+                held, offset = {j: v / top for j, v in held.items()}, offset + np.log(top)
+            now = values[e]
+            for k, ws, rs in at:
+                now[ws] += held[e - k][ws] * p[rs]
+            offsets[e] = offset
+            held[e] = now
+            held.pop(e - reach, None)
+        return values, offsets
+
+    @staticmethod
+    def batches(raw: list[bytes]) -> Iterator[list[int]]:
+        """Words of like length together, at most TOGETHER bytes or one word."""
+        order, part = sorted(range(len(raw)), key=lambda i: len(raw[i])), []
+        for i in order:
+            if part and (len(part) + 1) * len(raw[i]) > TOGETHER:
+                yield part
+                part = []
+            part.append(i)
+        if part:
+            yield part
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """[word, language]: log chances, ``words`` in lower case and few bytes long."""
-        if not words:
-            return np.zeros((0, self.p.shape[1]))
+        """[word, language]: log chances of words in lower case, of any length."""
         raw = [_raw(w) for w in words]
         got = np.empty((len(raw), self.p.shape[1]))
-        order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
-        for k in range(0, len(order), 512):  # words of like length together
-            part = order[k : k + 512]
-            for lo in range(0, len(raw[part[-1]]), 36):
-                chunk = [raw[i][lo : lo + 36] for i in part]
-                keep = [j for j, c in enumerate(chunk) if c]
-                if not keep:
-                    continue
-                a = self.forward(self.arcs([chunk[j] for j in keep]))
-                v = np.log(a[[len(chunk[j]) for j in keep], np.arange(len(keep))])
-                if lo == 0:
-                    got[[part[j] for j in keep]] = v
-                else:
-                    got[[part[j] for j in keep]] += v
+        for part in self.batches(raw):
+            chunk = [raw[i] for i in part]
+            values, offsets = self.sums(self.arcs(chunk), len(chunk), self.p)
+            at = [len(w) for w in chunk], np.arange(len(chunk))
+            got[part] = np.log(values[at]) + offsets[at]
         return got
 
     def fit(self, counts: list[Counter], rounds: int = 3) -> None:
-        """Expectation-maximisation from word counts per language."""
-        words = [w for w in dict.fromkeys(w for c in counts for w in c) if len(_raw(w)) <= 36]
+        """Expectation-maximisation from word counts per language, by forward and backward sums."""
+        words = list(dict.fromkeys(w for c in counts for w in c))
         raw = [_raw(w) for w in words]
         weight = np.array([[c[w] for c in counts] for w in words], float).reshape(len(words), len(counts))
-        mass = None
-        for _ in range(rounds + 1):
-            expected = np.zeros((len(self.rows) + 1, len(counts)))
-            for k in range(0, len(raw), 512):
-                part = raw[k : k + 512]
-                arcs, w = self.arcs(part), weight[k : k + 512]
-                n, ends, _ = arcs.shape
-                if mass is None:  # at first, every piece that occurs
-                    for e in range(1, ends):
-                        for m in range(1, min(e, LONGEST_PIECE) + 1):
-                            np.add.at(expected, arcs[:, e, m], w)
+        parts = [(weight[part], np.array([len(raw[i]) for i in part]), self.arcs(chunk), self.arcs(chunk, True)) for part in self.batches(raw) for chunk in [[raw[i] for i in part]]]
+        for round_ in range(rounds + 1):
+            expected, p = np.zeros((len(self.rows), len(counts))), self.p[:, :-1]
+            for w, size, arcs, back in parts:
+                n = len(size)
+                if round_ == 0:  # at first, every piece that occurs
+                    for at in arcs:
+                        for _, ws, rs in at:
+                            np.add.at(expected, rs, w[ws])
                     continue
-                p = self.p[:, :-1]
-                a = self.forward(arcs)[:, :, :-1]
-                b = np.zeros((ends, n, len(counts)))
-                size = np.array([len(x) for x in part])
-                b[size, np.arange(n)] = 1
-                for e in range(ends - 1, 0, -1):
-                    for m in range(1, min(e, LONGEST_PIECE) + 1):
-                        b[e - m] += b[e] * p[arcs[:, e, m]]
-                z = w / np.maximum(a[size, np.arange(n)], 1e-300)
-                for e in range(1, ends):
-                    for m in range(1, min(e, LONGEST_PIECE) + 1):
-                        np.add.at(expected, arcs[:, e, m], a[e - m] * p[arcs[:, e, m]] * b[e] * z)
-            mass = expected[:-1]
-            own = mass / np.maximum(mass.sum(0), 1e-9)
+                (a, a_off), (b, b_off) = self.sums(arcs, n, p), self.sums(back, n, p)
+                whole = a[size, np.arange(n)]
+                z = np.log(np.where(whole > 0, whole, 1)) + a_off[size, np.arange(n)]
+                for e, at in enumerate(arcs, 1):
+                    for k, ws, rs in at:
+                        rest = size[ws] - e
+                        share = a[e - k, ws] * b[rest, ws] * np.exp(a_off[e - k, ws] + b_off[rest, ws] - z[ws])
+                        np.add.at(expected, rs, p[rs] * share * w[ws])
+            own = expected / np.maximum(expected.sum(0), 1e-9)
             ground = 0.5 * own.mean(1) + 0.5 * self.plain
-            self.p[:-1, :-1] = (1 - MIX) * own + MIX * ground[:, None]
-            self.p[:-1, -1] = ground
+            self.p[:, :-1] = (1 - MIX) * own + MIX * ground[:, None]
+            self.p[:, -1] = ground
 
 
 def _raw(word: str) -> bytes:
@@ -185,12 +199,10 @@ class Reader:
         return best, total, words
 
 
-def confidence(total: np.ndarray) -> np.ndarray:
-    """Chance of the best language against the other ones and none."""
-    if not len(total):
-        return np.zeros(0)
-    e = np.exp(total - total.max(1, keepdims=True))
-    return e.max(1) / e.sum(1)
+def confidence(total: np.ndarray, judged: np.ndarray) -> np.ndarray:
+    """Chance of the judged language against the other ones and none; 0 for sentences of no language."""
+    e = np.exp(total - total.max(1, keepdims=True, initial=-np.inf))
+    return np.where(judged >= 0, e[np.arange(len(judged)), judged] / e.sum(1), 0.0)
 
 
 def train(reference: list[tuple[str, str]], sample: list[tuple[str, str]], path: str | None = None) -> Model:
@@ -254,6 +266,9 @@ SEGMENTS = "array<struct<lang string, sentences int, chars long, confidence doub
 def segmented(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, segments): runs of sentences of one language, in order; sentences of no language join the run before them.
 
+    A segment's confidence is the mean, by characters, of its sentences' chances of the segment's language, against the
+    others and none. Where neighbours outweigh a sentence's own best language, that may be little.
+
     One row per document; null, empty and wordless texts have no segments. Texts are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -267,12 +282,12 @@ def segmented(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
                 per = [sentences(t) if t else [] for t in part.column(1).to_pylist()]
                 flat = [s for d in per for s in d]
                 best, total, _ = reader.judge(flat)
-                sure = confidence(total)
                 out, at = [], 0
                 for d in per:
                     runs: list[dict] = []
                     judged = smoothed(best[at : at + len(d)], total[at : at + len(d)])
-                    for s, b in zip(d, judged.tolist()):
+                    sure = confidence(total[at : at + len(d)], judged)
+                    for s, b, c in zip(d, judged.tolist(), sure.tolist()):
                         if b >= 0:
                             lang = reader.model.langs[b]
                             if not runs or runs[-1]["lang"] != lang:
@@ -280,8 +295,8 @@ def segmented(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
                             r = runs[-1]
                             r["sentences"] += 1
                             r["chars"] += len(s)
-                            r["confidence"] += float(sure[at]) * len(s)
-                        at += 1
+                            r["confidence"] += c * len(s)
+                    at += len(d)
                     for r in runs:
                         r["confidence"] /= r["chars"]
                     out.append(runs)
