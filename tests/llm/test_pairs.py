@@ -98,12 +98,58 @@ def test_long_questions(spark):
 
 def test_classes(spark):
     rows = train_rows(120, 8)
-    df = spark.createDataFrame(rows, TRAIN)
-    got = {r.id: r for r in near.class_links(df).collect()}
-    assert set(got) == set(known(rows))
-    pairs = near.matching_pairs(df).count()
-    inside = sum(r.n_copies - 1 for r in got.values())
-    assert pairs * 2 >= inside
+    k = known(rows)
+    form = {i: tuple(sorted(" ".join(W.findall(t.lower())) for t in r[3:5])) for r in rows for i in [r[0]] if i in k}
+    size, first = {}, {}
+    for i, f in sorted(form.items()):
+        size[f] = size.get(f, 0) + 1
+        first.setdefault(f, i)
+    links = {f: sum(g != f and match(k[first[f]], k[first[g]]) for g in first) for f in first}
+    got = near.class_links(spark.createDataFrame(rows, TRAIN)).collect()
+    assert {r.id: (r.class_id, r.n_copies, r.n_links) for r in got} == {i: (first[f], size[f], links[f]) for i, f in form.items()} and len(got) == len(form)
+
+
+def test_hot_classes_are_split(spark, monkeypatch):
+    """A class with a third of the rows, and one with very many links, in parts."""
+    monkeypatch.setattr(matching, "HEAVY_SHARE", 1e-9)
+    real = max
+    monkeypatch.setattr(matching, "max", lambda *x: real(*(5.0 if v == 1000.0 else v for v in x)), raising=False)
+    rows = train_rows(200, 4)
+    k = known(rows)
+    want = sorted((a, b) for a in k for b in k if a < b and match(k[a], k[b]))
+    assert sorted((r.id_a, r.id_b) for r in near.matching_pairs(spark.createDataFrame(rows, TRAIN)).collect()) == want
+    m = spark.createDataFrame([(1, i, 50) for i in range(50)] + [(2, i, 2) for i in (60, 61)], "cid long, id long, n long")
+    got = sorted((r.x, r.y) for r in matching.within(m, 7).collect())
+    assert got == [(a, b) for a in range(50) for b in range(a + 1, 50)] + [(60, 61)]
+
+
+def test_estimate_decides(spark):
+    """Pairs that share a band and pass the signatures, but whose sketches are too different, go no further."""
+    import numpy as np
+
+    rng = random.Random(3)
+    made = []
+    for i in range(150):
+        w = [f"w{rng.randrange(60)}" for _ in range(12)]
+        made += [(2 * i, " ".join(w), "a fixed second question"), (2 * i + 1, " ".join(w[:8] + [f"w{rng.randrange(60)}" for _ in range(4)]), "a fixed second question")]
+    df = spark.createDataFrame(made, "id long, question1 string, question2 string")
+    _, reps = matching.prepared(df, "id")
+    sets = matching.with_hashes(reps)
+    keys = matching.band_keys(sets, matching.word_counts(sets, 1 << 16), 4000, near.registers)
+    texts = matching.with_texts(near.cut(matching.candidates(keys, keys, True)), reps, reps)
+    kept = near.estimated(texts)
+    exact = matching.confirmed(texts)
+    assert exact.count() == matching.confirmed(kept).count() <= kept.count() < texts.count()
+    # shadowed words widen the margin: with few buckets estimates alone would lose pairs, with their margins they don't
+    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 30)
+    h[:3] = (h[:3].view(np.uint64) & np.uint64((1 << 48) - 1)).view(np.int64)  # three words in bucket 0
+    x, y = near.sketches(h, np.array([30])), near.sketches(np.r_[h[1:], h[:1]], np.array([30]))
+    assert x[1][0] == 28 and x[2][0] == 2 and len(x[0]) == 28
+    estimate, margin = near.jaccard_estimate(x, y)
+    assert abs(estimate[0] - 1) < 1e-6 and margin[0] >= 4 / 28
+    z = near.sketches(np.r_[h[2:], np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 10)], np.array([38]))
+    estimate, margin = near.jaccard_estimate(x, z)
+    assert estimate[0] <= 28 / 38 + 0.03 and estimate[0] + margin[0] >= 28 / 40
 
 
 def test_empty_tables(spark):
@@ -265,3 +311,13 @@ def test_runs(spark, name):
 def test_report(spark):
     r = overlap.p1_report(spark, SMALL)
     assert r.agg(F.sum("n_pairs")).first()[0] == overlap.p1_found(spark, SMALL).count()
+
+
+def test_more_words_than_cells(spark, monkeypatch):
+    monkeypatch.setattr(matching, "LEAST_CELLS", 16)
+    monkeypatch.setattr(matching, "MOST_CELLS", 16)
+    monkeypatch.setattr(matching, "CELL_BLOCK", 16)
+    rows = train_rows(150, 7)
+    k = known(rows)
+    want = sorted((a, b) for a in k for b in k if a < b and match(k[a], k[b]))
+    assert sorted((r.id_a, r.id_b) for r in near.matching_pairs(spark.createDataFrame(rows, TRAIN)).collect()) == want

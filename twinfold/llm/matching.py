@@ -9,8 +9,11 @@ key made of one rare word of either question. Where both words are frequent (mor
 classes), the key takes two words of either question instead, from prefixes one word longer: of those
 two words must be shared. Both are exact; no link is lost and no bucket is capped.
 
-Rarity comes from a table of word counts of fixed size (CELLS cells of one byte). It only sets the order,
-and where it proves that a word is in no other class, the word can't be shared.
+Rarity comes from a table of word counts, one byte a cell, with 16 cells a class up to MOST_CELLS of them. It
+only sets the order, and where it proves that a word is in no other class, the word can't be shared. With
+more words than cells fewer words are proved unique, and more keys are made: never more than prefix times prefix.
+
+Classes with very many records or very many links are split on both sides of the joins that expand them.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from twinfold.functions.text import GAP
 from twinfold.operators.skew import HEAVY_SHARE, salted_join
 from twinfold.session import cut
 
-CELLS = 1 << 23
+#: Bounds of the number of cells, a power of two: 64 MB at most are broadcast.
+LEAST_CELLS, MOST_CELLS, CELL_BLOCK = 1 << 16, 1 << 26, 1 << 16
 #: Classes that share a word above which it takes two words of either question to make a key.
 SPLIT_ABOVE = 4000
 FULL = 63  # a signature's size field when the set is too large for it: it passes every bound
@@ -52,10 +56,10 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def members(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """(cid, id) of the classes with more than one record; a class with many is spread over tasks."""
+    """(cid, id, n) of the classes with more than one record; a class with many is spread over tasks."""
     several = reps.filter("n > 1").select("cid", "n", *ordered_hashes(("k1", "k2"), F.col("t1"), F.col("t2")))
     heavy = several.filter(F.col("n") > F.lit(max(1000.0, HEAVY_SHARE * reps.count()))).select("k1", "k2")
-    return salted_join(rows.select("id", "k1", "k2"), several, ["k1", "k2"], heavy, ["id"]).select("cid", "id")
+    return salted_join(rows.select("id", "k1", "k2"), several, ["k1", "k2"], heavy, ["id"]).select("cid", "id", "n")
 
 
 def words(t: Column) -> Column:
@@ -67,19 +71,34 @@ def hashed(t: Column) -> Column:
     return F.transform(words(t), lambda w: F.xxhash64(w))
 
 
-def word_counts(sets: DataFrame, sided: bool = False) -> np.ndarray:
-    """One byte for each of CELLS cells: 1 if none of its words can be shared, else 2 to 15 as counted, above that on a log scale.
+def n_cells(classes: int) -> int:
+    """Cells for so many classes: 16 a class, as a power of two within the bounds."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (16 * classes).bit_length()))
+
+
+def word_counts(sets: DataFrame, cells: int, sided: bool = False) -> np.ndarray:
+    """One byte for each cell: 1 if none of its words can be shared, else 2 to 15 as counted, above that on a log scale.
 
     Words can't be shared if each is in one class only, or, ``sided`` (a column ``side`` tells apart two tables that are joined), all in one table.
+    What comes to the driver are blocks of bytes, as many as there are cells.
     """
     h = F.explode(F.array_distinct(F.concat("h1", "h2")))
     mark = F.shiftright("h", 40).cast("int")
-    got = sets.select(h.alias("h"), (F.col("side") if sided else F.lit(0)).alias("s")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("c")).agg(F.count("*").alias("n"), F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.min("s").alias("s0"), F.max("s").alias("s1"))
+    got = sets.select(h.alias("h"), (F.col("side") if sided else F.lit(0)).alias("s")).groupBy(F.col("h").bitwiseAND(cells - 1).cast("int").alias("c")).agg(F.count("*").alias("n"), F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.min("s").alias("s0"), F.max("s").alias("s1"))
     once = (F.col("n") == 1) | ((F.col("n") == 2) & (F.col("lo") != F.col("hi"))) | (F.col("s0") == F.col("s1") if sided else F.lit(False))
-    small = got.select("c", F.when(once, 1).when(F.col("n") < 16, F.col("n")).otherwise(F.least(F.lit(255), F.floor(F.log2("n") * 8 - 16))).cast("short").alias("n")).toArrow()
-    cells = np.zeros(CELLS, np.uint8)
-    cells[small["c"].to_numpy()] = small["n"].to_numpy()
-    return cells
+    small = got.select("c", F.when(once, 1).when(F.col("n") < 16, F.col("n")).otherwise(F.least(F.lit(255), F.floor(F.log2("n") * 8 - 16))).cast("short").alias("n"))
+
+    def block(t: pa.Table) -> pa.Table:
+        c = t["c"].to_numpy()
+        out = np.zeros(CELL_BLOCK, np.uint8)
+        out[c & (CELL_BLOCK - 1)] = t["n"].to_numpy()
+        return pa.table({"block": pa.array(c[:1] // CELL_BLOCK, pa.int32()), "bytes": pa.array([out.tobytes()], pa.binary())})
+
+    blocks = small.groupBy(F.shiftright("c", CELL_BLOCK.bit_length() - 1).alias("b")).applyInArrow(block, "block int, bytes binary").toArrow()
+    out = np.zeros(cells, np.uint8)
+    for k, v in zip(blocks["block"].to_pylist(), blocks["bytes"]):
+        out[k * CELL_BLOCK : (k + 1) * CELL_BLOCK] = np.frombuffer(v.as_buffer(), np.uint8)
+    return out
 
 
 def level(count: int) -> int:
@@ -115,26 +134,25 @@ def signatures(codes: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.nda
     return (out << 6) | np.minimum(sizes, FULL)
 
 
-def prefixes(flat: np.ndarray, sizes: np.ndarray, cells: np.ndarray, hot: int) -> tuple:
-    """Rare words of every set: (rows, codes, is frequent) of the prefix, and (rows, codes) of pairs of words for its frequent ones."""
+def prefixes(codes: np.ndarray, count: np.ndarray, sizes: np.ndarray, hot: int) -> tuple:
+    """Rare words of every set, by their codes: (rows, codes, is frequent) of the prefix, and (rows, codes) of pairs of words for its frequent ones."""
     n = len(sizes)
     rows = np.repeat(np.arange(n), sizes)
-    count = cells[flat & (CELLS - 1)]
-    order = np.lexsort((flat, count, rows))
-    flat, count = flat[order], count[order]
-    rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((codes, count, rows))
+    codes, count = codes[order], count[order]
+    rank = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     spare = (sizes + (-7 * sizes // 10))[rows]
     shared = count > 1
     one, two = shared & (rank <= spare), shared & (rank <= spare + 1)
     often = one & (count > hot)
     ia, ib = cross(rows[often], rows[two], n)
-    w, x, r = flat[often][ia], flat[two][ib], rows[often][ia]
-    keep = (w != x) | (sizes[r] == 1)
-    code, r = mix(w[keep], x[keep]), r[keep]
+    at, other = np.flatnonzero(often)[ia], np.flatnonzero(two)[ib]
+    keep = (at != other) | (sizes[rows[at]] == 1)
+    code, r = mix(codes[at[keep]], codes[other[keep]]), rows[at[keep]]
     order = np.lexsort((code, r))
     code, r = code[order], r[order]
     new = np.r_[True, (code[1:] != code[:-1]) | (r[1:] != r[:-1])] if len(code) else np.zeros(0, bool)
-    return (rows[one], flat[one], often[one]), (r[new], code[new])
+    return (rows[one], codes[one], often[one]), (r[new], code[new])
 
 
 def band_keys(sets: DataFrame, cells: np.ndarray, split_above: int, encode: Callable[[np.ndarray], np.ndarray], most: int = 1 << 20) -> DataFrame:
@@ -151,16 +169,17 @@ def band_keys(sets: DataFrame, cells: np.ndarray, split_above: int, encode: Call
             cid, lists = b.column(0).to_numpy(zero_copy_only=False), []
             for c in (1, 2):
                 col = b.column(c)
-                lists.append((col.flatten().to_numpy(zero_copy_only=False).copy(), np.diff(col.offsets.to_numpy())))
-            sig = [signatures(encode(f), np.repeat(np.arange(len(n)), n), n) for f, n in lists]
-            (one1, two1), (one2, two2) = (prefixes(f, n, cells, hot) for f, n in lists)
+                flat = col.flatten().to_numpy(zero_copy_only=False).copy()
+                lists.append((encode(flat), cells[flat & (len(cells) - 1)], np.diff(col.offsets.to_numpy())))
+            sig = [signatures(f, np.repeat(np.arange(len(n)), n), n) for f, _, n in lists]
+            (one1, two1), (one2, two2) = (prefixes(f, c, n, hot) for f, c, n in lists)
             for (r1, c1, f1), (r2, c2, f2), both in ((one1, one2, False), ((*two1, None), (*two2, None), True)):
                 each = np.bincount(r2, minlength=len(cid))[r1]
                 at, total = 0, np.cumsum(each)
                 while at < len(r1):  # no more than about ``most`` keys at a time
                     end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
                     ia, ib = cross(r1[at:end], r2, len(cid))
-                    x, y, r = encode(c1[at:end][ia]) if not both else c1[at:end][ia], encode(c2[ib]) if not both else c2[ib], r1[at:end][ia]
+                    x, y, r = c1[at:end][ia], c2[ib], r1[at:end][ia]
                     if not both:
                         keep = ~(f1[at:end][ia] & f2[ib])
                         x, y, r = x[keep], y[keep], r[keep]
@@ -195,11 +214,16 @@ def close(x: Column, y: Column) -> Column:
     return shared * 17 >= (F.size(x) + F.size(y)) * 7
 
 
+def hubs(df: DataFrame, key: str) -> DataFrame:
+    """(key, k): keys with more than a thousandth of the rows of a written table, and their rows."""
+    return df.groupBy(key).agg(F.count("*").alias("k")).filter(F.col("k") > F.lit(max(1000.0, HEAVY_SHARE * df.count())))
+
+
 def with_texts(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Adds the texts of both classes: a1, a2, b1, b2."""
+    """Adds the texts of both classes: a1, a2, b1, b2; classes in very many pairs are salted. ``pairs`` is a written table."""
     l = left.select(F.col("cid").alias("a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))  # noqa: E741
     r = right.select(F.col("cid").alias("b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
-    return pairs.join(l, "a").join(r, "b")
+    return salted_join(salted_join(pairs, l, ["a"], hubs(pairs, "a"), ["b"]), r, ["b"], hubs(pairs, "b"), ["a"])
 
 
 def confirmed(texts: DataFrame) -> DataFrame:
@@ -229,7 +253,35 @@ def with_hashes(reps: DataFrame) -> DataFrame:
     return reps.select("cid", hashed(F.col("t1")).alias("h1"), hashed(F.col("t2")).alias("h2"))
 
 
-def spread(pairs: DataFrame, side: str, out: str, m: DataFrame) -> DataFrame:
-    """Replaces the class in ``side`` by all its records, in column ``out``; ``m``: the members of larger classes."""
-    m = m.withColumnRenamed("cid", side).withColumnRenamed("id", "__id")
-    return pairs.join(m, side, "left").withColumn(out, F.coalesce("__id", side)).drop("__id", side)
+def spread(pairs: DataFrame, side: str, out: str, m: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Replaces the class in ``side`` by all its records, in column ``out``; ``m``: the members of larger classes, a written table.
+
+    Classes with more than a thousandth of the members, or of the rows of ``links`` (a written table with the
+    classes in ``side``), are split: members into parts that every row of ``pairs`` meets, rows of ``pairs`` by a hash.
+    """
+    least = max(1000.0, HEAVY_SHARE * m.count())
+    parts = m.filter(F.col("n") > F.lit(least)).groupBy(F.col("cid").alias(side)).agg(F.ceil(F.first("n") / F.lit(least)).cast("int").alias("__parts"))
+    if links is not None:
+        some = hubs(links, side)
+        parts = parts.join(some.select(side, F.ceil(F.col("k") / F.lit(max(1000.0, HEAVY_SHARE * links.count()))).cast("int").alias("__ways")), side, "full")
+    else:
+        parts = parts.withColumn("__ways", F.lit(1))
+    heavy = F.broadcast(parts.select(side, F.coalesce("__parts", F.lit(1)).alias("__parts"), F.coalesce("__ways", F.lit(1)).alias("__ways")))  # 2,000 classes at most
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    one = lambda by, c: F.pmod(F.xxhash64(*by), F.coalesce(c, F.lit(1)).cast("long")).cast("int")
+    rest = [c for c in pairs.columns if c != side]
+    x = pairs.join(heavy, side, "left").select(*pairs.columns, one(rest or [side], F.col("__ways")).alias("__way"), (F.coalesce("__parts", F.lit(1)) > 1).alias("__split"), every(F.col("__parts")).alias("__part"))
+    y = m.select(F.col("cid").alias(side), F.col("id").alias("__id")).join(heavy, side, "left").select(side, "__id", one(["__id"], F.col("__parts")).alias("__part"), every(F.col("__ways")).alias("__way"))
+    j = x.join(y, [side, "__way", "__part"], "left").filter("NOT __split OR __id IS NOT NULL")
+    return j.select(*rest, F.coalesce("__id", side).alias(out))
+
+
+def within(m: DataFrame, part: int = 2000) -> DataFrame:
+    """(x, y), x < y: every two records of a class. A class is cut into parts of about ``part`` records, of which every two meet in a row group of their own."""
+    k = F.ceil(F.col("n") / F.lit(part)).cast("int")
+    own = F.pmod(F.xxhash64("id"), k.cast("long")).cast("int")
+    t = m.select("cid", "id", own.alias("own"), (k - 1).alias("last"))
+    x = t.select("cid", F.col("id").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"))
+    y = t.select("cid", F.col("id").alias("y"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
+    both = x.join(y, ["cid", "i", "j"]).filter("i != j OR x < y")
+    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
