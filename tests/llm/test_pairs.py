@@ -265,6 +265,39 @@ def test_rare_pairs_of_words_are_kept(spark, tmp_path):
     assert got["rare", "thing"].q_value >= got["rare", "thing"].p_value * 45  # ten words have 45 pairs
 
 
+def test_nested_records(spark):
+    kind = "id long, r struct<name:string,tags:array<string>,m:map<string,struct<x:int,y:string>>>, z string"
+    rows = [
+        (1, ("Ann Lee", ["a b", "C"], {"k": (1, "u"), "l": (2, None)}), "q"),
+        (2, ("ann-lee!", ["A  B", "c"], {"L": (2, ""), "K": (1, "U ")}), "Q?"),  # case, blanks, punctuation, order of a map
+        (3, ("Ann Lee", ["C", "a b"], {"k": (1, "u"), "l": (2, None)}), "q"),  # an array keeps its order
+        (4, ("Ann Lee", ["a bC"], {"k": (1, "u"), "l": (2, None)}), "q"),
+        (5, None, None),
+        (6, (None, [], {}), " "),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    got = {r.keep_id: r.n_copies for r in copies.nested_collapsed(df).collect()}
+    assert got == {1: 2, 3: 1, 4: 1, 5: 2}
+    turned = df.select("id", "z", F.struct(F.col("r.m").alias("M"), F.col("r.tags").alias("tags"), F.col("r.name").alias("NAME")).alias("R"))
+    both = copies.nested_collapsed(df).select("root").union(copies.nested_collapsed(turned).select("root"))
+    assert both.distinct().count() == 4  # the order and the case of field names don't matter
+    assert copies.nested_collapsed(df.limit(0)).count() == 0
+
+
+def test_false_discoveries_under_the_null(spark):
+    """Words drawn independently: next to no pair is surprising, however many are tested."""
+    rng = random.Random(12)
+    words_, weights = [f"w{i}" for i in range(300)], [1 / (i + 3) for i in range(300)]
+    rows = [tuple(" ".join(rng.choices(words_, weights, k=rng.randint(2, 9))) for _ in "12") for _ in range(1500)]
+    got = together.pair_surprise(spark.createDataFrame(rows, "question1 string, question2 string"), least=1, share=0)
+    n, found = got.agg(F.count("*"), F.sum((F.col("q_value") <= 0.1).cast("int"))).first()
+    assert n > 10_000 and found <= 2
+    with pytest.warns(UserWarning):
+        import numpy as np
+
+        together.fit(np.array([1.0, 30.0]), np.array([50.0, 2.0]), np.array([1.0, 9.0]), np.array([40.0, 8.0]), 1)
+
+
 def test_null_keeps_frequencies_and_sizes():
     import numpy as np
 

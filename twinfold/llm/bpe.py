@@ -14,10 +14,10 @@ and takes the table's transitions from left to right; decoding emits the labels
 
 from __future__ import annotations
 
+import hashlib
 import importlib.util
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -44,10 +44,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """The tokenization automaton of a vocabulary file."""
+    """The tokenization automaton of a vocabulary file's content."""
 
-    def __init__(self, path: str):
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    def __init__(self, data: bytes):
+        model = json.loads(data)["model"]
         letters = byte_letters()
         ids: dict[str, int] = model["vocab"]
         raw = {t: bytes(map(letters.__getitem__, t)) for t in ids if all(c in letters for c in t)}
@@ -160,16 +160,29 @@ class Automaton:
         return b"".join(self.label[i] for i in ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
-def automaton(path: str) -> Automaton:
-    return Automaton(path)
+_MACHINES: dict[str, Automaton] = {}
+
+
+def automaton(digest: str, data: bytes) -> Automaton:
+    """The automaton of a content, once per process; the latest few are kept."""
+    if digest not in _MACHINES:
+        while len(_MACHINES) >= 4:
+            _MACHINES.pop(next(iter(_MACHINES)))
+        _MACHINES[digest] = Automaton(data)
+    return _MACHINES[digest]
+
+
+def shipped(spark: SparkSession, path: str | None):
+    """The vocabulary file's content, read by the driver and broadcast with its digest: workers open no path. A few MB, whatever the data."""
+    data = Path(path or default_vocabulary()).read_bytes()
+    return spark.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), data))
 
 
 class Encoder:
     """Encodes texts and remembers the ids of words; its memory is bounded by REMEMBERED words of 64 letters or fewer."""
 
-    def __init__(self, path: str):
-        self.machine, self.words = automaton(path), {}
+    def __init__(self, machine: Automaton):
+        self.machine, self.words = machine, {}
         self.split = regex.compile(PATTERN).findall
 
     def __call__(self, text: str | None) -> list[int]:
@@ -189,21 +202,16 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def encoded(df: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids): the token ids of every text, without special tokens, whose strings are ordinary text.
 
     One row per row of ``df``; a null and an empty text give an empty list. Nothing is shuffled: texts
     are encoded whole, where they are read.
     """
-    path = path or default_vocabulary()
+    shared = shipped(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = Encoder(automaton(*shared.value))
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
@@ -221,10 +229,10 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text: str = "text", path
 
 def decoded(df: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids give a null text."""
-    path = path or default_vocabulary()
+    shared = shipped(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = automaton(path)
+        m = automaton(*shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else m.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinfold.functions.text import bare
 from twinfold.operators.skew import HEAVY_SHARE, salted_join
@@ -19,6 +20,44 @@ def root_digest(leaves: list[Column]) -> Column:
     return F.unhex(F.md5(F.array_join(F.array_sort(F.array(*(F.md5(x) for x in leaves))), "")))
 
 
+def normal(value: Column, kind: T.DataType, digest: bool) -> Column:
+    """A nested value's root, bottom-up: its digest, or its canonical text, which is the same for the same values only.
+
+    Leaves are in bare form (null as ''). Structs and maps are unordered nodes: their children, each with its lower-cased field name or
+    key, are sorted; arrays keep their order.
+    """
+
+    def node(mark: str, children: Column, ordered: bool) -> Column:
+        text = F.concat(F.lit(mark + "("), F.array_join(children if ordered else F.array_sort(children), ","), F.lit(")"))
+        return F.md5(text) if digest else text
+
+    def leaf(text: Column) -> Column:
+        return F.md5(text) if digest else F.concat(F.length(text).cast("string"), F.lit(":"), text)
+
+    if isinstance(kind, T.StructType):
+        return node("s", F.array(*(F.concat(leaf(F.lit(f.name.lower())), F.lit("="), normal(value[f.name], f.dataType, digest)) for f in kind.fields)) if kind.fields else F.array().cast("array<string>"), False)
+    if isinstance(kind, T.ArrayType):
+        return node("a", F.transform(F.coalesce(value, F.array().cast(kind)), lambda x: normal(x, kind.elementType, digest)), True)
+    if isinstance(kind, T.MapType):
+        entries = F.map_entries(F.coalesce(value, F.map_from_arrays(F.array().cast(T.ArrayType(kind.keyType)), F.array().cast(T.ArrayType(kind.valueType)))))
+        return node("m", F.transform(entries, lambda e: F.concat(normal(e["key"], kind.keyType, digest), F.lit("="), normal(e["value"], kind.valueType, digest))), False)
+    return leaf(bare(value.cast("string")))
+
+
+def nested_collapsed(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per distinct nested record of any schema: (root, keep_id, n_copies); ``fields``: all but the id by default.
+
+    Rows are grouped by root digest and canonical text together, which is the full structural comparison; combined before the
+    shuffle. Fields are an unordered node: tables with fields in another order, or names in another case, have equal roots. Null
+    and empty values are the same. An empty table gives no rows.
+    """
+    names = list(fields or [c for c in df.columns if c != id_col])
+    kind = T.StructType([df.schema[c] for c in names])
+    record = F.struct(*names)
+    t = df.select(F.col(id_col).alias("id"), normal(record, kind, True).alias("root"), normal(record, kind, False).alias("text"))
+    return t.groupBy("root", "text").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies")).drop("text")
+
+
 def rooted(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question1", "question2")) -> DataFrame:
     """(id, root, leaves): records with a word in every field; null, empty and wordless ones are left out."""
     leaves = [f"__l{i}" for i in range(len(fields))]

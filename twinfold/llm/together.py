@@ -10,6 +10,7 @@ approximation and are controlled for the false-discovery rate over all pairs of
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,7 +119,11 @@ def fit(frequency: np.ndarray, items: np.ndarray, sizes: np.ndarray, numbers: np
         done = np.allclose(x, x_new, rtol=1e-9) and np.allclose(y, y_new, rtol=1e-9)
         x, y = x_new, y_new
         if done:
-            break
+            return x, y
+    p = 1 - 1 / (1 + np.outer(x, y))
+    off = np.abs(p @ numbers / np.maximum(frequency, 1e-300) - 1).max(initial=0)
+    if off > 1e-3:
+        warnings.warn(f"the null model isn't fitted after {rounds} rounds: a word's expected frequency is off by {off:.1e}", stacklevel=2)
     return x, y
 
 
@@ -200,7 +205,7 @@ def pair_surprise(df: DataFrame, q1: str = "question1", q2: str = "question2", l
 
 
 def _bin(p):
-    """Eighths of a decade, rounded up, down to 1e-320: q-values are those of the bin's end, so never too small."""
+    """Eighths of a decade, rounded up, down to 1e-320: q-values are those of the bin's end, so binning makes none smaller."""
     return F.ceil(F.greatest(F.log10(F.greatest(p, F.lit(1e-320))), F.lit(-320.0)) * 8).cast("int")
 
 
