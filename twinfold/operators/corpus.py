@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from twinfold.operators.pairs import PAIR_SQL, pair_rows
 from twinfold.operators.skew import HEAVY_SHARE, salted_join
+from twinfold.session import cut
 
 QUERIES, SQL = {}, {}
 
@@ -202,13 +203,14 @@ _PREFIX = f"WITH {PAIR_SQL}, t AS (SELECT a AS t FROM p WHERE len(a) > 0 UNION A
 
 def prefix_levels(df: DataFrame) -> DataFrame:
     """(k, prefix, n): for k = 1 to 5 the 50 most frequent prefixes of k words whose parent is among the 50 of its level."""
-    t = df.select(F.explode(F.array("a", "b")).alias("t")).filter(F.size("t") > 0)
+    starts = df.select(F.explode(F.array(F.slice("a", 1, PREFIXES), F.slice("b", 1, PREFIXES))).alias("t")).filter(F.size("t") > 0)
+    t = cut(starts.groupBy("t").agg(F.count("*").alias("n")))  # texts are read once; questions share their beginnings
     got, parent = None, None
     for k in range(1, PREFIXES + 1):
         rows = t.filter(F.size("t") >= k)
         if parent is not None:
             rows = rows.withColumn("prefix", F.array_join(F.slice("t", 1, k - 1), " ")).join(F.broadcast(parent), "prefix", "left_semi").drop("prefix")  # at most 50 rows
-        level = rows.groupBy(F.array_join(F.slice("t", 1, k), " ").alias("prefix")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prefix").limit(TOP_PREFIXES)
+        level = rows.groupBy(F.array_join(F.slice("t", 1, k), " ").alias("prefix")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "prefix").limit(TOP_PREFIXES)
         parent = level.select("prefix")
         part = level.select(F.lit(k).alias("k"), "prefix", "n")
         got = part if got is None else got.union(part)

@@ -35,9 +35,10 @@ def simple_edges(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def user_edges(spark: SparkSession, d: str) -> DataFrame:
     """Users with consecutive purchases on one day."""
+    from twinfold.operators.order import lag_in_order
+
     e = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'purchase'").select("ts", "event_id", "user_id", F.to_date("ts").alias("day"))
-    nxt = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
-    return simple_edges(e.withColumn("nxt", nxt), "user_id", "nxt")
+    return simple_edges(lag_in_order(e, ["day"], ["ts", "event_id"], {"user_id": "before"}), "before", "user_id")
 
 
 def question_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -389,11 +390,11 @@ def neighbour_pairs_agg(pairs: DataFrame, near: DataFrame, metric: Callable[[Col
     return j.filter(n > 0).select("id", n.alias("n"), F.round(mean, 7).alias(f"{mode}_mean"), F.round(F.array_max("v"), 7).alias(f"{mode}_max"), F.round(F.array_min("v"), 7).alias(f"{mode}_min"))
 
 
-def _neighbour_pairs_sql(mode: str) -> str:
+def _neighbour_pairs_sql(mode: str, value: str | None = None) -> str:
     from twinfold.operators.pairs import _TOK
 
     tok = lambda c: _TOK.replace("{c}", c)
-    value = _J.replace("(a", "(x.t").replace(", t)", ", y.t)").replace("len(t)", "len(y.t)").replace("distinct(t)", "distinct(y.t)")
+    value = value or _J.replace("(a", "(x.t").replace(", t)", ", y.t)").replace("len(t)", "len(y.t)").replace("distinct(t)", "distinct(y.t)")
     join = "p JOIN f AS x ON x.node = p.qid1 JOIN f AS y ON y.node = p.qid2" if mode == "between" else "p JOIN f AS x ON x.node = p.qid1 JOIN f AS y ON y.node = p.qid1 AND y.nb > x.nb"
     return f"""WITH t AS (SELECT * FROM train WHERE qid1 <> qid2 AND question1 IS NOT NULL AND question2 IS NOT NULL), e AS (SELECT qid1 AS node, qid2 AS nb, question2 AS text FROM t UNION ALL SELECT qid2, qid1, question1 FROM t),
 o AS (SELECT node, nb, min(text) AS text FROM e GROUP BY 1, 2), f AS (SELECT node, nb, {tok('text')} AS t FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY nb) AS k FROM o) WHERE k <= {NEIGHBOURS}),
@@ -416,8 +417,13 @@ FEW_PAIRS = 4096
 CELL = (4096, 32768)
 
 
-def _jaccard_cell(a: list, t: list, c: list) -> Iterator[list[tuple[float, int]]]:
-    """Per token set of ``a`` the (value, number) of its Jaccard similarities to the sets of ``t``, each ``c`` times.
+def _jaccard_of(both, of):
+    """From the shared and the summed sizes of two sets."""
+    return both / (of - both)
+
+
+def _jaccard_cell(a: list, t: list, c: list, value: Callable = _jaccard_of) -> Iterator[list[tuple[float, int]]]:
+    """Per token set of ``a`` the (value, number) of its similarities to the sets of ``t``, each ``c`` times.
 
     Frequent words are counted by a matrix product, rare ones through their lists of sets; the sums are exact.
     """
@@ -457,7 +463,7 @@ def _jaccard_cell(a: list, t: list, c: list) -> Iterator[list[tuple[float, int]]
             seen = np.bincount(bins[i], weights=c, minlength=height_ * width)
             at = np.flatnonzero(seen)
             inter, of = at // width, at % width
-            yield [(float(v), int(m)) for v, m in zip(np.where(of > 0, inter / np.maximum(of - inter, 1), 0.0), seen[at])]
+            yield [(float(v), int(m)) for v, m in zip(np.where(of > 0, value(inter, np.maximum(of, 1)), 0.0), seen[at])]
 
 
 def _weighted(hs: Column, mode: str) -> list[Column]:
@@ -477,10 +483,11 @@ def _weighted(hs: Column, mode: str) -> list[Column]:
     return [v.alias(f"{mode}_{k}") for k, v in out.items()]
 
 
-def whole_neighbour_agg(spark: SparkSession, d: str, profile: Callable[[Column], Column], metric: Callable[[Column, Column], Column], mode: str) -> DataFrame:
+def whole_neighbour_agg(spark: SparkSession, d: str, profile: Callable[[Column], Column], metric: Callable[[Column, Column], Column], mode: str, cell: Callable | None = None) -> DataFrame:
     """Five statistics of a metric between question1 and all different neighbours of question1 (``own``) or question2 (``cross``).
 
-    ``profile`` is what the metric reads of a text's tokens: a token set, or a number of few values. Neighbours of one
+    ``profile`` is what the metric reads of a text's tokens: a token set, or a number of few values; ``cell`` is the metric of two sets from
+    their shared and summed sizes, Jaccard by default. Neighbours of one
     profile are compared once, with their number; at nodes of many pairs the questions' profiles too, and token sets are
     cut into cells of bounded size in both directions.
     """
@@ -519,7 +526,7 @@ def whole_neighbour_agg(spark: SparkSession, d: str, profile: Callable[[Column],
         y = y.select("node", "t", "c", F.pmod(F.xxhash64("t"), F.col("m")).cast("int").alias("j"), every("g").alias("i"))
 
         def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            hs = [[{"v": v, "c": n} for v, n in h] for h in _jaccard_cell(list(x["a"]), list(y["t"]), list(y["c"]))] if len(x) and len(y) else [[]] * len(x)
+            hs = [[{"v": v, "c": n} for v, n in h] for h in _jaccard_cell(list(x["a"]), list(y["t"]), list(y["c"]), cell or _jaccard_of)] if len(x) and len(y) else [[]] * len(x)
             return pd.DataFrame({"node": x["node"], "a": x["a"], "hs": pd.Series(hs, index=x.index, dtype=object)})
 
         parts = x.groupBy("node", "i", "j").cogroup(y.groupBy("node", "i", "j")).applyInPandas(run, f"node long, a {kind}, hs array<struct<v:double,c:bigint>>")

@@ -1,12 +1,11 @@
-"""Topics, spans, hierarchies, parse-tree strings, stems, and word-by-word vector comparisons."""
+"""Topics, spans, hierarchies, parse-tree strings and stems."""
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.operators.pairs import PAIR_SQL, pair_rows
@@ -34,20 +33,24 @@ def span_degree(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
 
 
-@query("""WITH s AS (SELECT doc_id, qid, posted_at AS s, received_at AS e FROM documents WHERE qid IS NOT NULL AND received_at > posted_at), k AS (SELECT qid, doc_id, s, e, lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM s WINDOW w AS (PARTITION BY qid, date_trunc('month', s) ORDER BY s, doc_id))
-SELECT doc_id, CAST(coalesce(s < pe AND ps < e, false) AS INT) AS overlaps_previous, coalesce(greatest(0, least(epoch_us(e), epoch_us(pe)) - greatest(epoch_us(s), epoch_us(ps))), 0) AS degree_us FROM k""")
-def span_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a document's way (posted to received) overlaps that of the one before in its thread and month, and by how much."""
-    s = spark.read.parquet(f"{d}/documents.parquet").filter("qid IS NOT NULL AND received_at > posted_at").select("doc_id", "qid", F.col("posted_at").cast("timestamp").alias("s"), F.col("received_at").cast("timestamp").alias("e"))
-    s = s.select("doc_id", "qid", F.trunc("s", "month").alias("month"), F.unix_micros("s").alias("s"), F.unix_micros("e").alias("e"))
-    w = Window.partitionBy("qid", "month").orderBy("s", "doc_id")
-    k = s.withColumns({"ps": F.lag("s").over(w), "pe": F.lag("e").over(w)})
-    c = [F.col(x) for x in ("s", "e", "ps", "pe")]
-    return k.select("doc_id", F.coalesce(spans_overlap(*c), F.lit(False)).cast("int").alias("overlaps_previous"), F.coalesce(span_degree(*c), F.lit(0)).cast("long").alias("degree_us"))
-
-
 #: Dependency types and the type above.
-ABOVE = {"aux": "dep", "arg": "dep", "agent": "arg", "comp": "arg", "obj": "comp", "dobj": "obj", "subj": "arg", "nsubj": "subj", "mod": "dep", "amod": "mod", "predet": "mod", "ref": "dep", "dep": ""}
+ABOVE = {
+    above_type: above
+    for above, types in {
+        "": "dep",
+        "dep": "aux arg cc conj expl mod parataxis punct ref sdep",
+        "aux": "auxpass cop",
+        "arg": "agent comp subj",
+        "comp": "acomp attr ccomp xcomp compl obj mark rel",
+        "obj": "dobj iobj pobj",
+        "subj": "nsubj csubj",
+        "nsubj": "nsubjpass",
+        "mod": "abbrev amod appos advcl purpcl det predet preconj infmod partmod advmod rcmod quantmod tmod measure nn num number prep poss possessive prt",
+        "advmod": "neg",
+        "sdep": "xsubj",
+    }.items()
+    for above_type in types.split()
+}
 
 
 def isa(above: dict[str, str]) -> dict[str, set[str]]:
@@ -86,53 +89,86 @@ def height(tree: Column) -> Column:
     return F.aggregate(brackets, zero, step, lambda s: s["top"])
 
 
-_TOPIC = f"WITH {PAIR_SQL}, s AS (SELECT unnest(list_distinct(list_intersect(a, b))) AS w FROM p), g AS (SELECT w, count(*) AS n FROM s WHERE length(w) > 4 GROUP BY w ORDER BY n DESC, w LIMIT 30), k AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS r FROM g), m AS (SELECT p.id, arg_min(k.w, k.r) AS topic FROM (SELECT id, unnest(list_intersect(a, b)) AS w FROM p) AS p JOIN k USING (w) GROUP BY p.id)"
-
-
-@query(f"{_TOPIC}, t AS (SELECT p.id, topic FROM p LEFT JOIN m USING (id)) SELECT id, coalesce(last_value(topic IGNORE NULLS) OVER (PARTITION BY id // 1000 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'default') AS topic FROM t")
-def sticky_topic(spark: SparkSession, d: str) -> DataFrame:
-    """A pair's topic: the first of 30 keywords that both questions have; without one, the topic of the pair before.
-
-    Topics carry on within blocks of 1,000 ids, so that no window is ordered over all rows.
-    """
+def own_topics(spark: SparkSession, d: str) -> DataFrame:
+    """(id, topic): the first of the 30 most frequent longer shared words that both questions have, or null."""
     df = pair_rows(spark, d).select("id", F.array_intersect("a", "b").alias("both"))
     top = df.select(F.explode("both").alias("w")).filter(F.length("w") > 4).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(30)
     keys = F.broadcast(top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "w"))).alias("keys")))  # one row of 30 words
-    t = df.crossJoin(keys).select("id", F.get(F.filter("keys", lambda k: F.array_contains("both", k["w"])), F.lit(0))["w"].alias("topic"))
-    w = Window.partitionBy(F.floor(F.col("id") / 1000)).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.select("id", F.coalesce(F.last("topic", ignorenulls=True).over(w), F.lit("default")).alias("topic"))
-
-
-def _measure(stem: str) -> int:
-    """Vowel-consonant sequences of a stem."""
-    return len(re.findall("[aeiouy]+[^aeiouy]+", stem))
-
-
-#: Endings, what replaces them, and the least measure of what is left; the first that fits is taken.
-ENDINGS = (
-    [("sses", "ss", -1), ("ies", "i", -1), ("ss", "ss", -1), ("s", "", 0)],
-    [("eed", "ee", 1), ("ed", "", 1), ("ing", "", 1)],
-    [("ational", "ate", 1), ("tional", "tion", 1), ("ization", "ize", 1), ("fulness", "ful", 1), ("ousness", "ous", 1), ("iveness", "ive", 1), ("biliti", "ble", 1), ("ement", "", 2), ("ment", "", 2), ("ness", "", 1), ("able", "", 2), ("ible", "", 2), ("ance", "", 2), ("ence", "", 2), ("ly", "", 1), ("er", "", 2), ("ic", "", 2), ("e", "", 2)],
-)
+    return df.crossJoin(keys).select("id", F.get(F.filter("keys", lambda k: F.array_contains("both", k["w"])), F.lit(0))["w"].alias("topic"))
+
+
+class Porter:
+    """The stemmer of Porter (1980), for words of lower-case letters; words of one or two letters stay."""
+
+    #: Endings of the second, third and fourth step, and what replaces them.
+    SECOND = dict(ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", abli="able", alli="al", entli="ent", eli="e", ousli="ous", ization="ize", ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble")
+    THIRD = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
+    FOURTH = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+
+    @staticmethod
+    def shape(word: str) -> str:
+        """c and v for every letter; y is a vowel behind a consonant."""
+        out = ""
+        for i, c in enumerate(word):
+            out += "v" if c in "aeiou" or (c == "y" and i and out[-1] == "c") else "c"
+        return out
+
+    @classmethod
+    def measure(cls, stem: str) -> int:
+        """Number of vowels with a consonant behind them, runs counted once."""
+        return len(re.findall("v+c+", cls.shape(stem)))
+
+    @classmethod
+    def short(cls, stem: str) -> bool:
+        """Ends with consonant, vowel and a consonant that isn't w, x or y."""
+        return cls.shape(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
+
+    @classmethod
+    def ended(cls, word: str, ends: list[str]) -> str | None:
+        """The longest of the endings that the word has."""
+        return max((e for e in ends if word.endswith(e)), key=len, default=None)
+
+    @classmethod
+    def stem(cls, word: str) -> str:
+        if len(word) <= 2:
+            return word
+        if word.endswith(("sses", "ies")):
+            word = word[:-2]
+        elif word.endswith("s") and not word.endswith("ss"):
+            word = word[:-1]
+        if word.endswith("eed"):
+            if cls.measure(word[:-3]) > 0:
+                word = word[:-1]
+        elif (e := cls.ended(word, ["ed", "ing"])) and "v" in cls.shape(word[: -len(e)]):
+            word = word[: -len(e)]
+            if word.endswith(("at", "bl", "iz")):
+                word += "e"
+            elif len(word) > 1 and word[-1] == word[-2] and cls.shape(word)[-1] == "c" and word[-1] not in "lsz":
+                word = word[:-1]
+            elif cls.measure(word) == 1 and cls.short(word):
+                word += "e"
+        if word.endswith("y") and "v" in cls.shape(word[:-1]):
+            word = word[:-1] + "i"
+        for ends in (cls.SECOND, cls.THIRD):
+            if (e := cls.ended(word, list(ends))) and cls.measure(word[: -len(e)]) > 0:
+                word = word[: -len(e)] + ends[e]
+        if (e := cls.ended(word, cls.FOURTH)) and cls.measure(word[: -len(e)]) > 1 and (e != "ion" or word[-4:-3] in ("s", "t")):
+            word = word[: -len(e)]
+        if word.endswith("e") and (cls.measure(word[:-1]) > 1 or (cls.measure(word[:-1]) == 1 and not cls.short(word[:-1]))):
+            word = word[:-1]
+        if word.endswith("ll") and cls.measure(word) > 1:
+            word = word[:-1]
+        return word
 
 
 def stem(word: str) -> str:
-    """A word without its inflection and common suffixes; words of three letters or fewer stay."""
-    for step in ENDINGS:
-        if len(word) <= 3:
-            break
-        for end, new, least in step:
-            if word.endswith(end):
-                rest = word[: len(word) - len(end)]
-                if _measure(rest) >= least and len(rest) > 1:
-                    word = rest + new
-                break
-    return word
+    """Porter stem of a word in lower case; words with other letters than a to z stay."""
+    return Porter.stem(word) if word.isascii() and word.isalpha() else word
 
 
 @query()
 def pair_stems(spark: SparkSession, d: str) -> DataFrame:
-    """Stemmed tokens of both questions; each distinct word of a batch is stemmed once."""
+    """Porter stems of both questions' words (anything but letters and digits parts them); each distinct word of a batch is stemmed once."""
 
     def run(batches):
         for pdf in batches:
@@ -143,41 +179,5 @@ def pair_stems(spark: SparkSession, d: str) -> DataFrame:
 
             yield pd.DataFrame({"id": pdf["id"], "stem1": [of(x) for x in pdf["a"]], "stem2": [of(x) for x in pdf["b"]]})
 
-    return pair_rows(spark, d).select("id", "a", "b").mapInPandas(run, "id long, stem1 string, stem2 string")
-
-
-def hashed_vectors(words: list[str], size: int = 32) -> np.ndarray:
-    """Word vectors from letter trigrams: a stand-in where no embedding table is given."""
-    import xxhash
-
-    out = np.zeros((len(words), size))
-    for i, w in enumerate(words):
-        for k in range(len(w) + 1):
-            h = xxhash.xxh64_intdigest(f"#{w}#"[k : k + 3])
-            out[i, h % size] += 1 if h >> 63 else -1
-    n = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(n > 0, n, 1)
-
-
-@query()
-def word_by_word(spark: SparkSession, d: str) -> DataFrame:
-    """Cosines of every word of one question with every word of the other: statistics, best matches, relaxed mover's distance.
-
-    Whole token lists are compared in numpy, pair by pair; the relaxed distance is the larger of the two
-    mean distances to the nearest word. -1 where a question has no tokens.
-    """
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for i, a, b in zip(pdf["id"], pdf["a"], pdf["b"]):
-                if not len(a) or not len(b):
-                    out.append((i, -1.0, -1.0, -1.0, -1.0, -1.0))
-                    continue
-                x, y = hashed_vectors(list(a)), hashed_vectors(list(b))
-                s = x @ y.T
-                near = np.sqrt(np.maximum(2 - 2 * s, 0))
-                out.append((i, s.mean(), s.max(), s.min(), s.std(), max(near.min(1).mean(), near.min(0).mean())))
-            yield pd.DataFrame(out, columns=["id", "mean", "max", "min", "std", "relaxed_distance"])
-
-    return pair_rows(spark, d).select("id", "a", "b").mapInPandas(run, "id long, mean double, max double, min double, std double, relaxed_distance double")
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]", " "), " "), lambda w: w != "")
+    return pair_rows(spark, d).select("id", words(F.col("q1")).alias("a"), words(F.col("q2")).alias("b")).mapInPandas(run, "id long, stem1 string, stem2 string")

@@ -140,6 +140,35 @@ def _bleu(a: list, b: list, n: int) -> float:
     return math.exp(total / n) * min(1.0, math.exp(1 - len(b) / len(a)))
 
 
+def _plain(t: str) -> str:
+    """Letters and digits in lower case, single blanks."""
+    return " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+
+
+def fuzzy_ratios(s: str, t: str) -> tuple[float, float, float, float]:
+    """Quick ratio, partial ratios of sorted tokens and of token sets, and the weighted ratio of two texts, from 0 to 1.
+
+    The weighted ratio is the best of the plain ratio and of the others, these taken down a little; where one text is much longer,
+    partial ratios take their place, taken down more.
+    """
+    x, y = _plain(s), _plain(t)
+    if not x or not y:
+        return 0.0, 0.0, 0.0, 0.0
+    quick = _ratio(x, y)
+    a, b = x.split(), y.split()
+    xs, ys = " ".join(sorted(a)), " ".join(sorted(b))
+    both, only_a, only_b = sorted(set(a) & set(b)), sorted(set(a) - set(b)), sorted(set(b) - set(a))
+    base, one, two = " ".join(both), " ".join(both + only_a), " ".join(both + only_b)
+    part_sort, part_set = _partial(xs, ys), max(_partial(base, one), _partial(base, two), _partial(one, two))
+    times = max(len(x), len(y)) / min(len(x), len(y))
+    if times < 1.5:
+        weighted = max(quick, 0.95 * _ratio(xs, ys), 0.95 * max(_ratio(base, one), _ratio(base, two), _ratio(one, two)))
+    else:
+        less = 0.9 if times <= 8 else 0.6
+        weighted = max(quick, less * _partial(x, y), 0.95 * less * part_sort, 0.95 * less * part_set)
+    return quick, part_sort, part_set, weighted
+
+
 _LZMA = [{"id": lzma.FILTER_LZMA2, "preset": 0, "dict_size": 1 << 12}]
 
 
@@ -149,7 +178,12 @@ def _packed_distance(a: str, b: str) -> float:
     return (size(a + b) - min(x, y)) / max(x, y)
 
 
-FUZZY = "id long, ratio double, partial_ratio double, token_sort_ratio double, token_set_ratio double, common_substring int, bleu1 double, bleu2 double, packed_distance double, simhash_distance int"
+def _threes(tokens: list) -> list[str]:
+    """Three words at a time; shorter lists stay."""
+    return [" ".join(tokens[i : i + 3]) for i in range(len(tokens) - 2)] or list(tokens)
+
+
+FUZZY = "id long, ratio double, partial_ratio double, token_sort_ratio double, token_set_ratio double, common_substring int, bleu1 double, bleu2 double, packed_distance double, simhash_distance int, simhash3_distance int, q_ratio double, partial_token_sort_ratio double, partial_token_set_ratio double, w_ratio double, common_substring_ratio double"
 
 
 def fuzzy(df: DataFrame) -> DataFrame:
@@ -170,8 +204,8 @@ def fuzzy(df: DataFrame) -> DataFrame:
                 x, y = sorted(a), sorted(b)
                 both, xs, ys = sorted(set(a) & set(b)), sorted(set(a) - set(b)), sorted(set(b) - set(a))
                 base, one, two = " ".join(both), " ".join(both + xs), " ".join(both + ys)
-                out.append((i, _ratio(s, t), _partial(s, t), _ratio(" ".join(x), " ".join(y)), max(_ratio(base, one), _ratio(base, two), _ratio(one, two)), _common_substring(s, t), _bleu(a, b, 1), _bleu(a, b, 2), _packed_distance(s, t), int((simhash(a) != simhash(b)).sum())))
-            yield pd.DataFrame(out, columns=["id", "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "common_substring", "bleu1", "bleu2", "packed_distance", "simhash_distance"])
+                out.append((i, _ratio(s, t), _partial(s, t), _ratio(" ".join(x), " ".join(y)), max(_ratio(base, one), _ratio(base, two), _ratio(one, two)), _common_substring(s, t), _bleu(a, b, 1), _bleu(a, b, 2), _packed_distance(s, t), int((simhash(a) != simhash(b)).sum()), int((simhash(_threes(a)) != simhash(_threes(b))).sum()), *fuzzy_ratios(s, t), _common_substring(s, t) / max(len(s), len(t), 1)))
+            yield pd.DataFrame(out, columns=["id", "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "common_substring", "bleu1", "bleu2", "packed_distance", "simhash_distance", "simhash3_distance", "q_ratio", "partial_token_sort_ratio", "partial_token_set_ratio", "w_ratio", "common_substring_ratio"])
 
     return df.mapInPandas(run, FUZZY)
 
