@@ -44,21 +44,21 @@ def combined(name: str) -> list[Column]:
     """Least, largest, difference, mean, ratio and sum of a value of the two ends."""
     x, y = F.col(f"{name}1"), F.col(f"{name}2")
     lo, hi = F.least(x, y), F.greatest(x, y)
-    return [lo.alias(f"{name}_min"), hi.alias(f"{name}_max"), F.round(F.abs(x - y), 6).alias(f"{name}_diff"), F.round((x + y) / 2, 6).alias(f"{name}_mean"), F.round(F.when(hi > 0, lo / hi).otherwise(0.0), 6).alias(f"{name}_ratio"), F.round(x + y, 6).alias(f"{name}_sum")]
+    return [F.round(lo, 6).alias(f"{name}_min"), F.round(hi, 6).alias(f"{name}_max"), F.round(F.abs(x - y), 6).alias(f"{name}_diff"), F.round((x + y) / 2, 6).alias(f"{name}_mean"), F.round(F.when(hi > 0, lo / hi).otherwise(0.0), 6).alias(f"{name}_ratio"), F.round(x + y, 6).alias(f"{name}_sum")]
 
 
 def _combined_sql(name: str, x: str, y: str) -> str:
-    return f"least({x}, {y}) AS {name}_min, greatest({x}, {y}) AS {name}_max, round(abs({x} - {y}), 6) AS {name}_diff, round(({x} + {y}) / 2, 6) AS {name}_mean, round(CASE WHEN greatest({x}, {y}) > 0 THEN least({x}, {y}) / greatest({x}, {y}) ELSE 0 END, 6) AS {name}_ratio, round({x} + {y}, 6) AS {name}_sum"
+    return f"round(least({x}, {y}), 6) AS {name}_min, round(greatest({x}, {y}), 6) AS {name}_max, round(abs({x} - {y}), 6) AS {name}_diff, round(({x} + {y}) / 2, 6) AS {name}_mean, round(CASE WHEN greatest({x}, {y}) > 0 THEN least({x}, {y}) / greatest({x}, {y}) ELSE 0 END, 6) AS {name}_ratio, round({x} + {y}, 6) AS {name}_sum"
 
 
-@query(f"""WITH {_QE}, g AS (SELECT src AS node, CAST(count(*) AS DOUBLE) AS degree FROM u GROUP BY src), m AS (SELECT u.src AS node, round(avg(g.degree), 6) AS near FROM u JOIN g ON g.node = u.dst GROUP BY u.src)
+@query(f"""WITH {_QE}, g AS (SELECT src AS node, CAST(count(*) AS DOUBLE) AS degree FROM u GROUP BY src), m AS (SELECT u.src AS node, avg(g.degree) AS near FROM u JOIN g ON g.node = u.dst GROUP BY u.src)
 SELECT id, {_combined_sql('degree', 'g1.degree', 'g2.degree')}, {_combined_sql('near', 'm1.near', 'm2.near')} FROM train JOIN g AS g1 ON g1.node = qid1 JOIN g AS g2 ON g2.node = qid2 JOIN m AS m1 ON m1.node = qid1 JOIN m AS m2 ON m2.node = qid2 WHERE qid1 <> qid2""")
 def pair_node_scalars(spark: SparkSession, d: str) -> DataFrame:
     """Degree, and mean degree of the neighbours, of the two questions of a row, combined in six ways."""
     e = cut(question_edges(spark, d))
     g = degrees(e).withColumn("degree", F.col("degree").cast("double"))
     u = both_ways(e)
-    near = salted_join(u, g.withColumnRenamed("node", "dst"), ["dst"], hubs(u, "dst"), ["src"]).groupBy(F.col("src").alias("node")).agg(F.round(F.avg("degree"), 6).alias("near"))
+    near = salted_join(u, g.withColumnRenamed("node", "dst"), ["dst"], hubs(u, "dst"), ["src"]).groupBy(F.col("src").alias("node")).agg(F.avg("degree").alias("near"))
     t = with_nodes(_ids(spark, d), cut(g.join(near, "node")), ["degree", "near"])
     return t.select("id", *combined("degree"), *combined("near"))
 

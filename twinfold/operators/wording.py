@@ -69,7 +69,7 @@ def single_blanks(c: Column) -> Column:
 
 
 def _single_sql(c: str) -> str:
-    return f"trim(regexp_replace({c}, {_quote(_WS)}, ' ', 'g'))"
+    return f"trim(regexp_replace({c}, {_quote(_WS)}, ' ', 'g'), ' ')"
 
 
 #: Marks that word_tokenise sets apart, and the endings of contractions.
