@@ -135,7 +135,7 @@ def test_estimate_decides(spark):
     df = spark.createDataFrame(made, "id long, question1 string, question2 string")
     _, reps = matching.prepared(df, "id")
     sets = matching.with_hashes(reps)
-    keys = matching.band_keys(sets, matching.word_counts(sets, 1 << 16), 4000, near.registers)
+    keys = matching.band_keys(sets, matching.rarity(sets, 1), 4000, near.registers)
     texts = matching.with_texts(near.cut(matching.candidates(keys, keys, True)), reps, reps)
     kept = near.estimated(texts)
     exact = matching.confirmed(texts)
@@ -346,11 +346,25 @@ def test_report(spark):
     assert r.agg(F.sum("n_pairs")).first()[0] == overlap.p1_found(spark, SMALL).count()
 
 
-def test_more_words_than_cells(spark, monkeypatch):
-    monkeypatch.setattr(matching, "LEAST_CELLS", 16)
-    monkeypatch.setattr(matching, "MOST_CELLS", 16)
-    monkeypatch.setattr(matching, "CELL_BLOCK", 16)
+def test_more_words_than_the_filter_holds(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(matching, "BLOCK_BITS", 16)
+    monkeypatch.setattr(matching, "BLOCK_CELLS", 2)
     rows = train_rows(150, 7)
     k = known(rows)
     want = sorted((a, b) for a in k for b in k if a < b and match(k[a], k[b]))
     assert sorted((r.id_a, r.id_b) for r in near.matching_pairs(spark.createDataFrame(rows, TRAIN)).collect()) == want
+    assert matching.Rarity(np.zeros((2, 4), np.uint8), 16).levels(np.arange(9)).tolist() == [1] * 9
+
+
+def test_filter_holds_all_shared_words(spark):
+    import numpy as np
+
+    sets = spark.createDataFrame([(1, ["a", "b", "c"], ["c", "d"]), (2, ["b", "x"], ["y"]), (3, ["c"], ["z", "b"])], "cid long, t1 array<string>, t2 array<string>")
+    sets = sets.select("cid", *(F.transform(t, lambda w: F.xxhash64(w)).alias(h) for t, h in (("t1", "h1"), ("t2", "h2"))))
+    of = {r.w: r.h for r in spark.createDataFrame([(w,) for w in "abcdxyz"], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    for blocks in (1, 8):
+        got = dict(zip(of, matching.rarity(sets, blocks).levels(np.array(list(of.values()), np.int64)).tolist()))
+        assert got == {"a": 1, "b": 3, "c": 2, "d": 1, "x": 1, "y": 1, "z": 1}
+    assert [matching.n_blocks(n) for n in (0, 1, 100_000, 10**7, 10**12)] == [1, 1, 8, 1024, 2048]

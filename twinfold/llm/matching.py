@@ -9,9 +9,10 @@ key made of one rare word of either question. Where both words are frequent (mor
 classes), the key takes two words of either question instead, from prefixes one word longer: of those
 two words must be shared. Both are exact; no link is lost and no bucket is capped.
 
-Rarity comes from a table of word counts, one byte a cell, with 16 cells a class up to MOST_CELLS of them. It
-only sets the order, and where it proves that a word is in no other class, the word can't be shared. With
-more words than cells fewer words are proved unique, and more keys are made: never more than prefix times prefix.
+Words that are in one class only can't be shared. Those in two or more are counted exactly, by hash, in a
+distributed table; from it a Bloom filter of these words and levels of their counts are broadcast, together
+136 MB at most. The filter lets some words pass that can't be shared, which makes keys that meet nothing, and never
+holds a word back; the levels only set the order of rarity.
 
 Classes with very many records or very many links are split on both sides of the joins that expand them.
 """
@@ -29,8 +30,8 @@ from twinfold.functions.text import GAP
 from twinfold.operators.skew import HEAVY_SHARE, salted_join
 from twinfold.session import cut
 
-#: Bounds of the number of cells, a power of two: 64 MB at most are broadcast.
-LEAST_CELLS, MOST_CELLS, CELL_BLOCK = 1 << 16, 1 << 26, 1 << 16
+#: Bits of a block of the filter, cells of its levels, and the most blocks; bits per class.
+BLOCK_BITS, BLOCK_CELLS, MOST_BLOCKS, CLASS_BITS = 1 << 19, 1 << 12, 1 << 11, 64
 #: Classes that share a word above which it takes two words of either question to make a key.
 SPLIT_ABOVE = 4000
 FULL = 63  # a signature's size field when the set is too large for it: it passes every bound
@@ -71,34 +72,63 @@ def hashed(t: Column) -> Column:
     return F.transform(words(t), lambda w: F.xxhash64(w))
 
 
-def n_cells(classes: int) -> int:
-    """Cells for so many classes: 16 a class, as a power of two within the bounds."""
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (16 * classes).bit_length()))
+def n_blocks(classes: int) -> int:
+    """Blocks for so many classes, a power of two within the bound."""
+    return min(MOST_BLOCKS, 1 << max(CLASS_BITS * classes // BLOCK_BITS, 1).bit_length() - 1)
 
 
-def word_counts(sets: DataFrame, cells: int, sided: bool = False) -> np.ndarray:
-    """One byte for each cell: 1 if none of its words can be shared, else 2 to 15 as counted, above that on a log scale.
+class Rarity:
+    """Levels of word counts, and a filter of the words that can be shared, in blocks of bytes: filter, then levels."""
 
-    Words can't be shared if each is in one class only, or, ``sided`` (a column ``side`` tells apart two tables that are joined), all in one table.
-    What comes to the driver are blocks of bytes, as many as there are cells.
-    """
-    h = F.explode(F.array_distinct(F.concat("h1", "h2")))
-    mark = F.shiftright("h", 40).cast("int")
-    got = sets.select(h.alias("h"), (F.col("side") if sided else F.lit(0)).alias("s")).groupBy(F.col("h").bitwiseAND(cells - 1).cast("int").alias("c")).agg(F.count("*").alias("n"), F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.min("s").alias("s0"), F.max("s").alias("s1"))
-    once = (F.col("n") == 1) | ((F.col("n") == 2) & (F.col("lo") != F.col("hi"))) | (F.col("s0") == F.col("s1") if sided else F.lit(False))
-    small = got.select("c", F.when(once, 1).when(F.col("n") < 16, F.col("n")).otherwise(F.least(F.lit(255), F.floor(F.log2("n") * 8 - 16))).cast("short").alias("n"))
+    def __init__(self, blocks: np.ndarray, bits: int):
+        self.blocks, self.bits = blocks, bits
+
+    @staticmethod
+    def places(h: np.ndarray, blocks: int, bits: int, cells: int) -> tuple[np.ndarray, ...]:
+        """Block, two bits and the cell of every word hash."""
+        u = h.view(np.uint64)
+        parts = ((50, blocks), (0, bits), (19, bits), (38, cells))
+        return tuple(((u >> np.uint64(at)) & np.uint64(size - 1)).astype(np.int64) for at, size in parts)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """1 for words that can't be shared, else the level of the count, 2 or more."""
+        at, first = self.blocks, self.bits // 8
+        block, one, two, cell = self.places(h, len(at), self.bits, at.shape[1] - first)
+        there = (at[block, one >> 3] >> (one & 7)) & (at[block, two >> 3] >> (two & 7)) & 1
+        return np.where(there == 1, np.maximum(at[block, first + cell], 2), 1)
+
+
+def _block(blocks: int, bits: int, cells: int):
+    def build(t: pa.Table) -> pa.Table:
+        h, n = t["h"].to_numpy(), t["n"].to_numpy()
+        _, one, two, cell = Rarity.places(h, blocks, bits, cells)
+        out = np.zeros(bits // 8 + cells, np.uint8)
+        for bit in (one, two):
+            np.bitwise_or.at(out, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+        np.maximum.at(out, bits // 8 + cell, n.astype(np.uint8))
+        return pa.table({"block": t["block"].combine_chunks()[:1], "bytes": pa.array([out.tobytes()], pa.binary())})
 
-    def block(t: pa.Table) -> pa.Table:
-        c = t["c"].to_numpy()
-        out = np.zeros(CELL_BLOCK, np.uint8)
-        out[c & (CELL_BLOCK - 1)] = t["n"].to_numpy()
-        return pa.table({"block": pa.array(c[:1] // CELL_BLOCK, pa.int32()), "bytes": pa.array([out.tobytes()], pa.binary())})
+    return build
 
-    blocks = small.groupBy(F.shiftright("c", CELL_BLOCK.bit_length() - 1).alias("b")).applyInArrow(block, "block int, bytes binary").toArrow()
-    out = np.zeros(cells, np.uint8)
-    for k, v in zip(blocks["block"].to_pylist(), blocks["bytes"]):
-        out[k * CELL_BLOCK : (k + 1) * CELL_BLOCK] = np.frombuffer(v.as_buffer(), np.uint8)
-    return out
+
+def rarity(sets: DataFrame, blocks: int, sided: bool = False) -> Rarity:
+    """Counts the classes of every word and keeps those of the words that can be shared: words of two classes or more, or, ``sided`` (a column
+    ``side`` tells apart two tables that are joined), of both tables.
+
+    Words are combined before the shuffle. What reaches the driver are ``blocks`` blocks of 68 kB.
+    """
+    h = F.explode(F.array_distinct(F.concat("h1", "h2"))).alias("h")
+    if sided:
+        n = sets.select(h, "side").groupBy("h").agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1")).filter("s0 != s1")
+    else:
+        n = sets.select(h).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    coarse = F.when(F.col("n") < 16, F.col("n")).otherwise(F.least(F.lit(255), F.floor(F.log2("n") * 8 - 16))).cast("short")
+    block = F.shiftrightunsigned("h", 50).bitwiseAND(blocks - 1).cast("int")
+    made = n.select(block.alias("block"), "h", coarse.alias("n")).groupBy("block").applyInArrow(_block(blocks, BLOCK_BITS, BLOCK_CELLS), "block int, bytes binary").toArrow()
+    out = np.zeros((blocks, BLOCK_BITS // 8 + BLOCK_CELLS), np.uint8)
+    for k, v in zip(made["block"].to_pylist(), made["bytes"]):
+        out[k] = np.frombuffer(v.as_buffer(), np.uint8)
+    return Rarity(out, BLOCK_BITS)
 
 
 def level(count: int) -> int:
@@ -155,22 +185,22 @@ def prefixes(codes: np.ndarray, count: np.ndarray, sizes: np.ndarray, hot: int)
     return (rows[one], codes[one], often[one]), (r[new], code[new])
 
 
-def band_keys(sets: DataFrame, cells: np.ndarray, split_above: int, encode: Callable[[np.ndarray], np.ndarray], most: int = 1 << 20) -> DataFrame:
+def band_keys(sets: DataFrame, rare: Rarity, split_above: int, encode: Callable[[np.ndarray], np.ndarray], most: int = 1 << 20) -> DataFrame:
     """(key, cid, s1, s2): the band keys of every class with the signatures of its two questions.
 
     ``encode`` turns word hashes into the codes that are banded and kept in the signatures.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(cells)
+    shared = sets.sparkSession.sparkContext.broadcast(rare)
     hot = level(split_above)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
+        rare = shared.value
         for b in batches:
             cid, lists = b.column(0).to_numpy(zero_copy_only=False), []
             for c in (1, 2):
                 col = b.column(c)
                 flat = col.flatten().to_numpy(zero_copy_only=False).copy()
-                lists.append((encode(flat), cells[flat & (len(cells) - 1)], np.diff(col.offsets.to_numpy())))
+                lists.append((encode(flat), rare.levels(flat), np.diff(col.offsets.to_numpy())))
             sig = [signatures(f, np.repeat(np.arange(len(n)), n), n) for f, _, n in lists]
             (one1, two1), (one2, two2) = (prefixes(f, c, n, hot) for f, c, n in lists)
             for (r1, c1, f1), (r2, c2, f2), both in ((one1, one2, False), ((*two1, None), (*two2, None), True)):

@@ -115,7 +115,7 @@ def estimated(texts: DataFrame, least: float = 0.7) -> DataFrame:
 def class_pairs(reps: DataFrame, split_above: int = M.SPLIT_ABOVE) -> DataFrame:
     """(a, b), a < b: classes that match."""
     sets = M.with_hashes(reps)
-    keys = M.band_keys(sets, M.word_counts(sets, M.n_cells(reps.count())), split_above, registers)
+    keys = M.band_keys(sets, M.rarity(sets, M.n_blocks(reps.count())), split_above, registers)
     texts = M.with_texts(cut(M.candidates(keys, keys, True)), reps, reps)
     return M.confirmed(estimated(texts)).union(M.same_root(reps, reps, True)).distinct()
 

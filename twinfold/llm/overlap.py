@@ -25,8 +25,8 @@ def _same(h: np.ndarray) -> np.ndarray:
 def class_overlaps(a: DataFrame, b: DataFrame, split_above: int = M.SPLIT_ABOVE) -> DataFrame:
     """(a, b): classes of the two tables that match."""
     ha, hb = M.with_hashes(a), M.with_hashes(b)
-    cells = M.word_counts(ha.withColumn("side", F.lit(0)).union(hb.withColumn("side", F.lit(1))), M.n_cells(a.count() + b.count()), sided=True)
-    found = cut(M.candidates(M.band_keys(ha, cells, split_above, _same), M.band_keys(hb, cells, split_above, _same), False))
+    rare = M.rarity(ha.withColumn("side", F.lit(0)).union(hb.withColumn("side", F.lit(1))), M.n_blocks(a.count() + b.count()), sided=True)
+    found = cut(M.candidates(M.band_keys(ha, rare, split_above, _same), M.band_keys(hb, rare, split_above, _same), False))
     return cut(M.confirmed(M.with_texts(found, a, b)).union(M.same_root(a, b, False)).distinct())
 
 
