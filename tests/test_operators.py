@@ -238,7 +238,7 @@ def test_pagerank_converges(spark, tmp_path):
     got = {r.node: r["rank"] for r in graph.pagerank_directed_converged(spark, str(tmp_path)).collect()}
     assert got == pytest.approx(rank, rel=1e-5)
     with pytest.raises(RuntimeError):
-        graph.pagerank(spark.createDataFrame(sorted(arcs), "src long, dst long"), 3, 0.9, 1e-12)
+        graph.pagerank_converged(spark.createDataFrame(sorted(arcs), "src long, dst long"), 0.9, 1e-12, 6)
 
 
 def test_patterns_of_question2(spark, tmp_path):

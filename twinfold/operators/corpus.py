@@ -123,20 +123,23 @@ def question_frequency(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", "n1", "n2", lo.alias("n_min"), hi.alias("n_max"), F.abs(F.col("n1") - F.col("n2")).alias("n_diff"), F.when(hi > 0, F.round(lo / hi, 6)).otherwise(0.0).alias("n_ratio"), F.round(F.col("n1") / F.col("mean"), 6).alias("n1_mean"), F.round(F.col("n1") / F.col("top"), 6).alias("n1_top"))
 
 
-@query(f"WITH {_Q}, r AS (SELECT 'train' AS split, id, question1 AS q FROM train UNION ALL SELECT 'test', test_id, question1 FROM test) SELECT split, id, n, count(*) OVER (PARTITION BY split ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank_max FROM r JOIN c USING (q)")
-def dup_rank_max(spark: SparkSession, d: str) -> DataFrame:
-    """Rank (ties get the largest) of a row's question1 count within its split.
+@query(f"WITH {_Q}, r AS (SELECT 'train' AS split, 1 AS side, id, question1 AS q FROM train UNION ALL SELECT 'train', 2, id, question2 FROM train UNION ALL SELECT 'test', 1, test_id, question1 FROM test UNION ALL SELECT 'test', 2, test_id, question2 FROM test) SELECT split, side, id, n, count(*) OVER (PARTITION BY split, side ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank_max FROM r JOIN c USING (q)")
+def dup_rank_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Rank (ties get the largest) of the counts of both questions within their split and side.
 
     Ranked over the histogram of counts, of which there are few, not over the rows: no window holds a whole split.
     """
     counts = question_counts(spark, d)
-    parts = [spark.read.parquet(f"{d}/{t}.parquet").select(F.lit(t).alias("split"), F.col(i).alias("id"), F.col("question1").alias("q")) for t, i in (("train", "id"), ("test", "test_id"))]
-    rows = parts[0].union(parts[1])
+    rows = None
+    for t, i in (("train", "id"), ("test", "test_id")):
+        sides = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(f"question{k}").alias("q")) for k in (1, 2)))).alias("s")
+        part = spark.read.parquet(f"{d}/{t}.parquet").select(F.lit(t).alias("split"), F.col(i).alias("id"), sides).select("split", "s.side", "id", "s.q")
+        rows = part if rows is None else rows.union(part)
     heavy = counts.filter(F.col("n") > F.lit(max(100.0, rows.count() * HEAVY_SHARE))).select("q")
     r = salted_join(rows, counts, ["q"], heavy, ["id"])
-    levels = r.groupBy("split", "n").agg(F.count("*").alias("k"))
-    ranks = levels.withColumn("rank_max", F.sum("k").over(Window.partitionBy("split").orderBy("n"))).drop("k")
-    return r.join(ranks, ["split", "n"]).select("split", "id", "n", "rank_max")
+    levels = r.groupBy("split", "side", "n").agg(F.count("*").alias("k"))
+    ranks = levels.withColumn("rank_max", F.sum("k").over(Window.partitionBy("split", "side").orderBy("n"))).drop("k")
+    return r.join(ranks, ["split", "side", "n"]).select("split", "side", "id", "n", "rank_max")
 
 
 @query("WITH h AS (SELECT question1_hash AS h FROM train_hashed UNION ALL SELECT question2_hash FROM train_hashed), c AS (SELECT h, count(*) AS n FROM h WHERE h IS NOT NULL GROUP BY h) SELECT h, n, round(ln((1.0 + 2 * (SELECT count(*) FROM train_hashed)) / (1 + n)), 6) AS idf FROM c")
@@ -277,21 +280,12 @@ def pair_mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("id").agg(F.round(F.sum("mi"), 7).alias("mi_sum"), F.count("*").alias("n_known"))
 
 
-@query(_PREFIX + _CLOSED + ", g AS (SELECT list(prefix ORDER BY prefix) AS g FROM c WHERE k >= 2) SELECT id, array_to_string(list_filter(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN contains(s, g[i]) THEN CAST(i AS VARCHAR) END), lambda z: z IS NOT NULL), ' ') AS on1 FROM (SELECT id, array_to_string(a, ' ') AS s FROM p), g")
-def pattern_one_hot(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of the patterns (at most 200, in their order) that question1 contains: the set places of its one-hot row."""
-    df = pair_rows(spark, d)
-    found = F.broadcast(closed_prefixes(prefix_levels(df)).filter("k >= 2").agg(F.array_sort(F.collect_list("prefix")).alias("g")))
-    t = df.select("id", F.array_join("a", " ").alias("s")).crossJoin(found)  # one row
-    return t.select("id", F.expr("array_join(filter(transform(g, (x, i) -> CASE WHEN contains(s, x) THEN CAST(i + 1 AS STRING) END), z -> z IS NOT NULL), ' ')").alias("on1"))
-
-
 _ON = "array_to_string(list_filter(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN contains({s}, g[i]) THEN CAST(i AS VARCHAR) END), lambda z: z IS NOT NULL), ' ')"
 
 
 @query(_PREFIX + _CLOSED + f", g AS (SELECT list(prefix ORDER BY prefix) AS g FROM c WHERE k >= 2) SELECT id, {_ON.replace('{s}', 's')} AS on1, {_ON.replace('{s}', 't')} AS on2 FROM (SELECT id, array_to_string(a, ' ') AS s, array_to_string(b, ' ') AS t FROM p), g")
 def pattern_one_hot_both(spark: SparkSession, d: str) -> DataFrame:
-    """``pattern_one_hot`` with the patterns of question2 too: the set places of both halves of the one-hot row."""
+    """Numbers of the patterns (at most 200, in their order) that each question contains: the set places of both halves of the one-hot row."""
     df = pair_rows(spark, d)
     found = F.broadcast(closed_prefixes(prefix_levels(df)).filter("k >= 2").agg(F.array_sort(F.collect_list("prefix")).alias("g")))
     t = df.select("id", F.array_join("a", " ").alias("s"), F.array_join("b", " ").alias("t")).crossJoin(found)  # one row

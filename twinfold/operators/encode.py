@@ -31,13 +31,6 @@ def fold_of(c: Column, folds: int = FOLDS, seed: int = 1024) -> Column:
 _FOLD = "CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR) || ':1024'), 1, 8) AS BIGINT) % 5 AS INT)"
 
 
-@query(f"SELECT is_duplicate, {_FOLD} AS fold, count(*) AS n FROM train WHERE is_duplicate IS NOT NULL GROUP BY 1, 2")
-def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
-    """Rows per label and fold; hashing gives every label an even share of each fold."""
-    t = spark.read.parquet(f"{d}/train.parquet").filter("is_duplicate IS NOT NULL")
-    return t.groupBy("is_duplicate", fold_of(F.col("id")).alias("fold")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {PAIR_SQL}, l AS (SELECT *, {_FOLD} AS fold FROM p), w AS (SELECT DISTINCT id, fold, y, unnest(list_filter(a, lambda t: NOT list_contains(b, t))) AS w FROM l UNION SELECT id, fold, y, unnest(list_filter(b, lambda t: NOT list_contains(a, t))) FROM l),
 g AS (SELECT w, fold, sum(y) AS s FROM w WHERE y IS NOT NULL GROUP BY 1, 2), t AS (SELECT w, sum(s) AS s FROM g GROUP BY 1), n AS (SELECT fold, count(*) AS n FROM l WHERE y IS NOT NULL GROUP BY 1), m AS (SELECT sum(n) AS m FROM n),
 e AS (SELECT w.id, CASE WHEN w.y IS NULL THEN coalesce(t.s, 0) / m ELSE (coalesce(t.s, 0) - coalesce(g.s, 0)) / (m - n.n) END AS v FROM w LEFT JOIN t USING (w) LEFT JOIN g ON g.w = w.w AND g.fold = w.fold JOIN n ON n.fold = w.fold, m)
@@ -125,10 +118,7 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("test_id").agg((F.sum("vote") * 2 > F.count("*")).cast("int").alias("majority"), F.count("*").alias("votes"))
 
 
-MAXLEN = 12
-
-
-def padded(ids: Column, length: int = MAXLEN, post: bool = False) -> Column:
+def padded(ids: Column, length: int, post: bool = False) -> Column:
     """Cut to ``length`` and filled with 0; before the ids (and cut at the front), or behind them."""
     fill = F.array_repeat(F.lit(0), F.greatest(F.lit(length) - F.size(ids), F.lit(0)))
     if post:
@@ -136,20 +126,6 @@ def padded(ids: Column, length: int = MAXLEN, post: bool = False) -> Column:
     return F.concat(fill, F.slice(ids, F.greatest(F.size(ids) - length + 1, F.lit(1)), length))
 
 
-@query(f"""WITH {PAIR_SQL}, s AS (SELECT unnest(a) AS w FROM p UNION ALL SELECT unnest(b) FROM p), c AS (SELECT w, count(*) AS freq FROM s GROUP BY w), t AS (SELECT * FROM c ORDER BY freq DESC, w LIMIT 5000), v AS (SELECT w, row_number() OVER (ORDER BY freq DESC, w) + 1 AS idx FROM t),
-x AS (SELECT id, unnest(a) AS w, unnest(range(0, len(a))) AS pos FROM p), i AS (SELECT id, list(coalesce(idx, 1) ORDER BY pos) AS ids FROM x LEFT JOIN v USING (w) GROUP BY id), j AS (SELECT id, coalesce(ids, CAST([] AS BIGINT[])) AS ids FROM p LEFT JOIN i USING (id))
-SELECT id, array_to_string(concat(list_transform(range(0, greatest({MAXLEN} - len(ids), 0)), lambda z: CAST(0 AS BIGINT)), ids[greatest(len(ids) - {MAXLEN} + 1, 1):]), ' ') AS pre, array_to_string(concat(ids[1:{MAXLEN}], list_transform(range(0, greatest({MAXLEN} - len(ids), 0)), lambda z: CAST(0 AS BIGINT))), ' ') AS post FROM j""")
-def padded_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Word numbers of question1, 1 for words outside the vocabulary (5,000 words, broadcast), padded before and behind."""
-    from twinfold.operators.corpus import vocab_topk
-
-    df = pair_rows(spark, d)
-    vocab = F.broadcast(vocab_topk(spark, d).select("w", (F.col("idx") + 1).alias("idx")).agg(F.map_from_entries(F.collect_list(F.struct("w", "idx"))).alias("v")))  # 5,000 words
-    ids = F.transform("a", lambda w: F.coalesce(F.element_at(F.col("v"), w), F.lit(1)).cast("int"))
-    j = df.select("id", "a").crossJoin(vocab).select("id", ids.alias("ids"))  # one row
-    return j.select("id", F.array_join(padded(F.col("ids")), " ").alias("pre"), F.array_join(padded(F.col("ids"), post=True), " ").alias("post"))
-
-
 #: Words that get a number of their own in ``padded_sequences_both``.
 VOCABULARY = 200_000
 _FILL = "list_transform(range(0, n - len(ids{k})), lambda z: CAST(0 AS BIGINT))"

@@ -148,41 +148,53 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return r.join(n, "root").join(m, "root").select("node", "root", "n_nodes", "n_edges")
 
 
-def pagerank(arcs: DataFrame, rounds: int = 10, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
-    """(node, rank) after ``rounds`` steps from the uniform start; the mass of nodes without arcs is spread evenly. Cut every third step.
-
-    With a ``tolerance``, steps end as soon as the ranks of two cuts differ by less than it in sum; raises if ``rounds`` don't suffice.
-    """
+def pagerank(arcs: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+    """(node, rank) after ``rounds`` steps from the uniform start; the mass of nodes without arcs is spread evenly. Cut every third step."""
     nodes = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     out = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
     nodes = cut(nodes.join(out, "node", "left"))
     n = nodes.count()
     heavy = cut(hubs(arcs, "src"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("seen", F.col("rank"))
-    if not n:
-        return ranks.select("node", "rank")
-    last = None
-    for k in range(rounds):
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for k in range(rounds if n else 0):
         parts = ranks.filter("out IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("part"))
         sent = salted_join(arcs, parts, ["src"], heavy, ["dst"]).groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
         loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))  # one row
-        held = nodes if tolerance is None else ranks.drop("rank")
         rank = ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank")
-        ranks = held.join(sent, "node", "left").crossJoin(F.broadcast(loose)).select(*held.columns, rank)
+        ranks = nodes.join(sent, "node", "left").crossJoin(F.broadcast(loose)).select("node", "out", rank)
         if k % 3 == 2:
             ranks = cut(ranks)
-            if tolerance is not None:
-                if last is not None:
-                    drop_cut(last)
-                last = ranks
-                if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("seen")))).first()[0] < tolerance:
-                    return ranks.select("node", "rank")
-                ranks = ranks.withColumn("seen", F.col("rank"))
-    if tolerance is not None:
-        raise RuntimeError(f"ranks still move after {rounds} rounds")
     return ranks.select("node", "rank")
 
 
+def pagerank_converged(arcs: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most: int = 1000, together: int = 6) -> DataFrame:
+    """(node, rank) when ranks stand still: ``together`` steps move them by less than ``tolerance`` in sum. Raises if ``most`` steps don't suffice.
+
+    Where the mass of nodes without arcs is spread evenly, ranks are in proportion to x = 1 + damping * (sum of x / out over the arcs that come in), so
+    a step needs no sum over all nodes; the scale is set at the end. Steps are written every ``together``, and older tables deleted.
+    """
+    nodes = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    out = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
+    nodes = cut(nodes.join(out, "node", "left"))
+    heavy = cut(hubs(arcs, "src"))
+    held = cut(nodes.select("node", "out", F.lit(1.0).alias("x"), F.lit(1.0).alias("before")))
+    if not held.count():
+        return held.select("node", F.col("x").alias("rank"))
+    for _ in range(-(-most // together)):
+        now = held.select("node", "out", "x")
+        for _ in range(together):
+            parts = now.filter("out IS NOT NULL").select(F.col("node").alias("src"), (F.col("x") / F.col("out")).alias("part"))
+            sent = salted_join(arcs, parts, ["src"], heavy, ["dst"]).groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
+            now = nodes.join(sent, "node", "left").select("node", "out", (1 + damping * F.coalesce("got", F.lit(0.0))).alias("x"))
+        nxt = cut(now.join(held.select("node", F.col("x").alias("before")), "node"))
+        drop_cut(held)
+        held = nxt
+        moved, total = held.agg(F.sum(F.abs(F.col("x") - F.col("before"))), F.sum("x")).first()
+        if moved < tolerance * total:
+            return held.select("node", (F.col("x") / F.lit(total)).alias("rank"))
+    raise RuntimeError(f"ranks still move after {most} steps")
+
+
 def _pagerank_sql(source: str, arcs: str, rounds: int = 10, damping: float = 0.85) -> str:
     s = f"WITH {source}, arcs AS ({arcs}), nodes AS (SELECT src AS node FROM arcs UNION SELECT dst FROM arcs), o AS (SELECT src, count(*) AS n FROM arcs GROUP BY src), k AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), r0 AS (SELECT node, 1 / n AS rank FROM nodes, k)"
     for i in range(rounds):
@@ -203,9 +215,9 @@ def pagerank_directed(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pagerank_directed_converged(spark: SparkSession, d: str) -> DataFrame:
-    """``pagerank_directed``, which stops after 5 steps as its SQL does, until the ranks stand still."""
+    """PageRank of the directed question graph when its ranks stand still (``pagerank_directed`` gives the fifth step)."""
     arcs = spark.read.parquet(f"{d}/train.parquet").filter("qid1 != qid2").select(F.col("qid1").alias("src"), F.col("qid2").alias("dst")).distinct()
-    return pagerank(cut(arcs), 600, 0.9, 1e-8)
+    return pagerank_converged(cut(arcs), 0.9)
 
 
 def core_numbers(e: DataFrame, most: int = 1000) -> DataFrame:
@@ -301,7 +313,8 @@ def clique_stats(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("node").agg(F.count("*").alias("n_cliques"), F.max("n").alias("largest"), F.round(F.avg("n"), 6).alias("mean_size"), F.round(F.stddev_pop("n"), 6).alias("std_size"))
 
 
-NEIGHBOURS = 20  # a node's first neighbours that the pairwise metrics read: the operator's own definition
+#: A node's first neighbours that metrics between two neighbours read: the number is part of their definition.
+NEIGHBOURS = 20
 
 
 def neighbour_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -324,54 +337,9 @@ def jaccard(x: Column, y: Column) -> Column:
     return F.when(F.size(x) + F.size(y) > 0, both / (F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)) - both)).otherwise(0.0)
 
 
-def neighbour_agg(pairs: DataFrame, near: DataFrame, metric: Callable[[Column, Column], Column], mode: str) -> DataFrame:
-    """Five statistics of a metric between a question and neighbours: ``own`` (a with the neighbours of question1), ``cross`` (a with those of question2).
-
-    -1 where there are no neighbours. Hot questions are in many pairs, but have 20 neighbours at most; their
-    lists are gathered once and joined as one row per question.
-    """
-    lists = near.groupBy("node").agg(F.collect_list("t").alias("ts"))  # at most 20
-    key = {"own": "qid1", "cross": "qid2"}[mode]
-    sizes = pairs.groupBy(key).agg(F.count("*").alias("n"))
-    heavy = sizes.filter(F.col("n") > F.lit(max(100.0, pairs.count() * HEAVY_SHARE))).select(key)
-    j = salted_join(pairs.select("id", key, "a"), lists.withColumnRenamed("node", key), [key], heavy, ["id"], how="left")
-    v = j.select("id", F.transform("ts", lambda t: metric(F.col("a"), t)).alias("v"))
-    n = F.size("v")
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / n
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) / n
-    out = {"mean": mean, "std": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), "max": F.array_max("v"), "min": F.array_min("v")}
-    return v.select("id", *(F.coalesce(F.when(n > 0, F.round(c, 5 if k == "std" else 7)), F.lit(-1.0)).alias(f"{mode}_{k}") for k, c in out.items()))
-
-
-def _neighbour_sql(mode: str, value: str) -> str:
-    from twinfold.operators.pairs import _TOK
-
-    tok = lambda c: _TOK.replace("{c}", c)
-    key = {"own": "qid1", "cross": "qid2"}[mode]
-    return f"""WITH t AS (SELECT * FROM train WHERE qid1 <> qid2 AND question1 IS NOT NULL AND question2 IS NOT NULL), e AS (SELECT qid1 AS node, qid2 AS nb, question2 AS text FROM t UNION ALL SELECT qid2, qid1, question1 FROM t),
-o AS (SELECT node, nb, min(text) AS text FROM e GROUP BY 1, 2), f AS (SELECT node, {tok('text')} AS t FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY nb) AS k FROM o) WHERE k <= {NEIGHBOURS}),
-p AS (SELECT id, {key} AS node, {tok('question1')} AS a FROM t), v AS (SELECT id, {value} AS v FROM p JOIN f USING (node))
-SELECT id, round(avg(v), 7) AS {mode}_mean, round(sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)), 5) AS {mode}_std, round(max(v), 7) AS {mode}_max, round(min(v), 7) AS {mode}_min FROM v GROUP BY id"""
-
-
 _J = "CASE WHEN len(a) + len(t) > 0 THEN CAST(len(list_intersect(a, t)) AS DOUBLE) / (len(list_distinct(a)) + len(list_distinct(t)) - len(list_intersect(a, t))) ELSE 0.0 END"
 
 
-@query(_neighbour_sql("own", _J))
-def neighbour_jaccard_own(spark: SparkSession, d: str) -> DataFrame:
-    return neighbour_agg(*neighbour_texts(spark, d), jaccard, "own")
-
-
-@query(_neighbour_sql("cross", _J))
-def neighbour_jaccard_cross(spark: SparkSession, d: str) -> DataFrame:
-    return neighbour_agg(*neighbour_texts(spark, d), jaccard, "cross")
-
-
-@query(_neighbour_sql("cross", "CAST(abs(len(a) - len(t)) AS DOUBLE)"))
-def neighbour_length_cross(spark: SparkSession, d: str) -> DataFrame:
-    return neighbour_agg(*neighbour_texts(spark, d), lambda x, y: F.abs(F.size(x) - F.size(y)).cast("double"), "cross")
-
-
 def neighbour_pairs_agg(pairs: DataFrame, near: DataFrame, metric: Callable[[Column, Column], Column], mode: str) -> DataFrame:
     """Statistics of a metric over pairs of neighbours: ``self`` (two of question1), ``between`` (one of either question); at most 20 x 20 a row."""
     lists = near.groupBy("node").agg(F.collect_list(F.struct("nb", "t")).alias("ts"))
@@ -553,17 +521,17 @@ def _token_set(tokens: Column) -> Column:
 
 @query(_whole_sql("own", _J))
 def neighbour_jaccard_own_all(spark: SparkSession, d: str) -> DataFrame:
-    """``neighbour_jaccard_own`` over all neighbours, with the median."""
+    """Jaccard similarities of question1 to all neighbours of its own."""
     return whole_neighbour_agg(spark, d, _token_set, jaccard, "own")
 
 
 @query(_whole_sql("cross", _J))
 def neighbour_jaccard_cross_all(spark: SparkSession, d: str) -> DataFrame:
-    """``neighbour_jaccard_cross`` over all neighbours, with the median."""
+    """Jaccard similarities of question1 to all neighbours of question2."""
     return whole_neighbour_agg(spark, d, _token_set, jaccard, "cross")
 
 
 @query(_whole_sql("cross", "CAST(abs(len(a) - len(t)) AS DOUBLE)"))
 def neighbour_length_cross_all(spark: SparkSession, d: str) -> DataFrame:
-    """``neighbour_length_cross`` over all neighbours, with the median."""
+    """Differences in length to all neighbours of question2."""
     return whole_neighbour_agg(spark, d, F.size, lambda x, y: F.abs(x - y).cast("double"), "cross")

@@ -97,6 +97,41 @@ def neighbour_sets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""WITH r AS (SELECT id, qid1, qid2 FROM train WHERE qid1 IS NOT NULL AND qid2 IS NOT NULL), h AS (SELECT qid1 AS q, id FROM r UNION SELECT qid2, id FROM r), p1 AS (SELECT DISTINCT h.q, r.qid1 AS x FROM h JOIN r USING (id)), p2 AS (SELECT DISTINCT h.q, r.qid2 AS x FROM h JOIN r USING (id)),
+c1 AS (SELECT p1.q, count(DISTINCT h.id) AS n FROM p1 JOIN h ON h.q = p1.x GROUP BY 1), c2 AS (SELECT p2.q, count(DISTINCT h.id) AS n FROM p2 JOIN h ON h.q = p2.x GROUP BY 1), f AS (SELECT r.id, a.n AS q1_q1, d.n AS q2_q2, c.n AS q1_q2, b.n AS q2_q1 FROM r JOIN c1 AS a ON a.q = qid1 JOIN c1 AS b ON b.q = qid2 JOIN c2 AS c ON c.q = qid1 JOIN c2 AS d ON d.q = qid2)
+SELECT *, least(q1_q1, q2_q2, q1_q2, q2_q1) AS d2_min, greatest(q1_q1, q2_q2, q1_q2, q2_q1) AS d2_max, round(CAST(least(q1_q1, q2_q2, q1_q2, q2_q1) AS DOUBLE) / greatest(q1_q1, q2_q2, q1_q2, q2_q1), 6) AS d2_ratio FROM f""")
+def two_hop_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows reached from a row in two steps: over the rows of one of its questions to their first (or second) questions, and to all rows of these.
+
+    Reached rows are counted, not gathered: the rows of all reached questions, less those that hold two of them. The latter are edges between two
+    reached questions, which are triangles with the question, or edges of the question itself if it is reached.
+    """
+    rows = cut(spark.read.parquet(f"{d}/train.parquet").filter("qid1 IS NOT NULL AND qid2 IS NOT NULL").select("id", "qid1", "qid2"))
+    ends = rows.select(F.explode(F.array_distinct(F.array("qid1", "qid2"))).alias("node"), "qid1", "qid2")
+    nodes = cut(ends.groupBy("node").agg(F.count("*").alias("n"), F.max((F.col("node") == F.col("qid1")).cast("long")).alias("f1"), F.max((F.col("node") == F.col("qid2")).cast("long")).alias("f2")))
+    up = F.col("qid1") < F.col("qid2")
+    e = cut(rows.filter("qid1 != qid2").groupBy(F.least("qid1", "qid2").alias("src"), F.greatest("qid1", "qid2").alias("dst")).agg(F.sum(up.cast("long")).alias("fw"), F.sum((~up).cast("long")).alias("bw")))
+    # (q, v): v is the first, or the second, question of a row of both; w rows hold both
+    near = cut(e.select(F.explode(F.array(
+        F.struct(F.col("src").alias("q"), F.col("dst").alias("v"), (F.col("bw") > 0).cast("long").alias("one"), (F.col("fw") > 0).cast("long").alias("two"), (F.col("fw") + F.col("bw")).alias("w")),
+        F.struct(F.col("dst").alias("q"), F.col("src").alias("v"), (F.col("fw") > 0).cast("long").alias("one"), (F.col("bw") > 0).cast("long").alias("two"), (F.col("fw") + F.col("bw")).alias("w")),
+    )).alias("x")).select("x.*"))
+    sized = salted_join(near, nodes.select(F.col("node").alias("v"), "n"), ["v"], hubs(near.select("v"), "v"), ["q"])
+    s = lambda x: F.sum(F.expr(x))
+    sums = sized.groupBy(F.col("q").alias("node")).agg(s("one * n").alias("s1"), s("two * n").alias("s2"), s("one * w").alias("w1"), s("two * w").alias("w2"))
+    corner = F.explode(F.array(*(F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.col(c).alias("q")) for a, b, c in (("x", "y", "z"), ("x", "z", "y"), ("y", "z", "x")))))
+    t = triangles(e.select("src", "dst")).select(corner.alias("t")).select("t.*").join(e.select("src", "dst", (F.col("fw") + F.col("bw")).alias("w")), ["src", "dst"])
+    for end, k in (("src", "a"), ("dst", "b")):
+        t = t.join(near.select("q", F.col("v").alias(end), F.col("one").alias(f"one_{k}"), F.col("two").alias(f"two_{k}")), ["q", end])
+    inner = t.groupBy(F.col("q").alias("node")).agg(s("w * one_a * one_b").alias("t1"), s("w * two_a * two_b").alias("t2"))
+    got = nodes.join(sums, "node", "left").join(inner, "node", "left").fillna(0)
+    per = cut(got.select("node", F.expr("f1 * n + s1 - f1 * w1 - t1").alias("one"), F.expr("f2 * n + s2 - f2 * w2 - t2").alias("two")))
+    r = with_nodes(rows, per, ["one", "two"])
+    c = [F.col(x) for x in ("one1", "two2", "two1", "one2")]
+    lo, hi = F.least(*c), F.greatest(*c)
+    return r.select("id", *(x.alias(n) for x, n in zip(c, ("q1_q1", "q2_q2", "q1_q2", "q2_q1"))), lo.alias("d2_min"), hi.alias("d2_max"), F.round(lo / hi, 6).alias("d2_ratio"))
+
+
 def _words_of_questions() -> str:
     tok = lambda c: _TOK.replace("{c}", c)
     return f"q AS (SELECT q, min(t) AS t FROM (SELECT qid1 AS q, question1 AS t FROM train UNION ALL SELECT qid2, question2 FROM train) WHERE q IS NOT NULL AND t IS NOT NULL GROUP BY q), w AS (SELECT q, unnest(list_distinct({tok('t')})) AS w FROM q)"

@@ -373,16 +373,6 @@ def _cleaned(c: str) -> tuple[str, str]:
 
 
 _bundle("text_clean_chain", {"clean1": _cleaned("q1"), "clean2": _cleaned("q2"), "bare_letters1": ("regexp_replace(lower(q1), '[^a-z]', '')", "regexp_replace(lower(q1), '[^a-z]', '', 'g')")})
-_bundle(
-    "url_number_mask",
-    {
-        "masked1": (
-            "regexp_replace(regexp_replace(q1, 'www[.]|[.]com|[.]co[.]uk', ''), '[0-9]+[.][0-9]+', 'FLOAT')",
-            "regexp_replace(regexp_replace(q1, 'www[.]|[.]com|[.]co[.]uk', '', 'g'), '[0-9]+[.][0-9]+', 'FLOAT', 'g')",
-        ),
-        "letters_or_digits1": ("size(regexp_extract_all(q1, '[A-Za-z0-9_][A-Za-z0-9_]+', 0))", "CAST(len(regexp_extract_all(q1, '[A-Za-z0-9_][A-Za-z0-9_]+')) AS INT)"),
-    },
-)
 
 
 def _char_grams(c: str, n: int) -> tuple[str, str]:
@@ -396,19 +386,6 @@ _bundle(
     {"shared": "CAST(SIZE(AND_(cx, cy)) AS INT)", "grams1": "CAST(SIZE(cx) AS INT)", "jaccard": _ratio("SIZE(AND_(cx, cy))", "SIZE(UNIQ(concat(cx, cy)))")},
     {"cx": _char_grams("lower(q1)", 3), "cy": _char_grams("lower(q2)", 3)},
 )
-_bundle(
-    "pair_position_offsets",
-    {
-        "offsets": (
-            "array_join(transform(a, (w, i) -> CAST(abs(instr(array_join(b, ' '), w) - 1 - i) AS STRING)), ' ')",
-            "array_to_string(list_transform(a, lambda w, i: CAST(abs(instr(array_to_string(b, ' '), w) - i) AS VARCHAR)), ' ')",
-        )
-    },
-)
 #: Accented letters and the plain ones that replace them.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
 _bundle("accent_folding", {"plain1": f"translate(q1, '{ACCENTS[0]}', '{ACCENTS[1]}')", "plain2": f"translate(q2, '{ACCENTS[0]}', '{ACCENTS[1]}')"})
-_bundle(
-    "char_ids",
-    {"ids1": ("array_join(transform(filter(split(regexp_replace(lower(q1), '[^a-z]', ''), ''), x -> x <> ''), x -> CAST(ascii(x) - 96 AS STRING)), ' ')", "array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(q1), '[^a-z]', '', 'g'), ''), lambda x: x <> ''), lambda x: CAST(ascii(x) - 96 AS VARCHAR)), ' ')")},
-)
