@@ -267,12 +267,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pair_surprise(_duplicates(spark, d)).filter("n_ab >= 6 and 1000 * n_ab >= n and n_ab * n >= 5 * n_a * n_b").select("term_a", "term_b")
 
 
-def p4_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The counts of pairs in a thousandth of the rows, as the SQL has them; ``p4_counts_all`` gives all."""
-    return pair_surprise(_duplicates(spark, d)).select("term_a", "term_b", "n_ab", "n_a", "n_b", "n")
-
-
 def p4_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of all pairs."""
     return p4_pairs(spark, d).select("term_a", "term_b", "n_ab", "n_a", "n_b", "n")
 
 
@@ -283,7 +279,6 @@ p AS (SELECT term_a, term_b, count(*) AS n_ab FROM (SELECT DISTINCT k, least(a,
 j AS (SELECT term_a, term_b, n_ab, ia.c AS n_a, ib.c AS n_b, n FROM p JOIN i AS ia ON term_a = ia.t JOIN i AS ib ON term_b = ib.t, n WHERE n_ab >= 6 AND 1000 * n_ab >= n)"""
 SQL = {
     "p4_found": f"WITH {_C} SELECT term_a, term_b FROM j WHERE n_ab * n >= 5 * n_a * n_b",
-    "p4_counts": f"WITH {_C} SELECT term_a, term_b, n_ab, n_a, n_b, n FROM j",
     "p4_counts_all": f"WITH {_C.replace(' WHERE n_ab >= 6 AND 1000 * n_ab >= n', '')} SELECT term_a, term_b, n_ab, n_a, n_b, n FROM j",
 }
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_counts": p4_counts, "p4_counts_all": p4_counts_all}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_counts_all": p4_counts_all}
