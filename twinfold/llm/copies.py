@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from twinfold.functions.text import bare
 from twinfold.operators.skew import HEAVY_SHARE, salted_join
+from twinfold.session import cut
 
 
 def root_digest(leaves: list[Column]) -> Column:
@@ -80,7 +81,7 @@ def collapsed(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("que
 def copies(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("question1", "question2")) -> DataFrame:
     """(keep_id, id, n_copies): every record that is a copy of one with a smaller id."""
     rows = rooted(df, id_col, fields)
-    sets = collapsed(df, id_col, fields).filter("n_copies > 1")
+    sets = cut(collapsed(df, id_col, fields).filter("n_copies > 1"))  # read twice
     heavy = sets.filter(F.col("n_copies") > F.lit(max(1000.0, HEAVY_SHARE * df.count()))).select("root")
     joined = salted_join(rows, sets.withColumnRenamed("leaves", "kept"), ["root"], heavy, ["id"])
     return joined.filter("leaves = kept and id != keep_id").select("keep_id", "id", "n_copies")
