@@ -45,7 +45,8 @@ def test_nmf_comes_near(sparse):
 def test_topics_are_shares(spark):
     got = models.lda_topics(spark, SMALL).collect()
     assert len(got) == 800 and {r.side for r in got} == {1, 2}
-    assert all(abs(sum(r.topics) - 1) < 1e-6 and min(r.topics) >= 0 for r in got)
+    sums = [sum(r.topics) for r in got]  # questions without a counted word have no topic
+    assert all(abs(s - 1) < 1e-6 or s == 0 for s in sums) and sum(s > 0 for s in sums) > 700 and all(min(r.topics) >= 0 for r in got)
 
 
 def test_scores_come_from_other_folds(spark):
