@@ -3,11 +3,12 @@ import random
 import statistics
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from twinfold.functions import text
-from twinfold.operators import corpus, encode, graph, pairs, skew, structure, vectors
+from twinfold.operators import corpus, encode, graph, graph_pairs, pairs, skew, structure, vectors
 from twinfold.sources import io
 
 
@@ -258,3 +259,35 @@ def test_padding_keeps_all_words_of_both_questions(spark, tmp_path):
     assert got[1].pre1.split() == got[1].post1.split() == [number[w] for w in long.split()]
     assert got[1].post2.split() == [number["w01"], number["w00"], *["0"] * 38]
     assert got[2].pre1.split() == ["0"] * 40 and got[2].pre2.split() == [*["0"] * 39, number["w00"]]
+
+
+def _levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distances_of_many_pairs():
+    from twinfold.operators import edits
+
+    rng = random.Random(8)
+    texts = ["", "a", *("".join(rng.choice("ab c9") for _ in range(n)) for n in (1, 63, 64, 65, 100, 127, 128, 129, 191, 192, 193, 260, *(rng.randrange(150) for _ in range(15))))]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    assert edits.edit_distances(edits.Texts(texts), a, b).tolist() == [_levenshtein(texts[i], texts[j]) for i, j in zip(a, b)]
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_edits_of_all_neighbours(spark, tmp_path, monkeypatch, block):
+    """25 neighbours, equal texts among them: no number of neighbours is left out, in one task or in cells."""
+    monkeypatch.setattr(graph_pairs, "EDIT_BLOCK", block)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["stone", "river", "cloud", "paper", "green"]) for _ in range(1 + k % 4)) for k in range(25)]
+    spark.createDataFrame([(k, 1, 100 + k, "first text", x) for k, x in enumerate(texts)] + [(90, 1, 100, "first text", texts[0]), (91, 300, 301, "lonely", "other")], "id long, qid1 long, qid2 long, question1 string, question2 string").write.parquet(f"{tmp_path}/train.parquet")
+    got = {r["id"]: r for r in graph_pairs.neighbour_edit_self(spark, str(tmp_path)).collect()}
+    v = [_levenshtein(x, y) / max(len(x), len(y)) for k, x in enumerate(texts) for y in texts[:k]]
+    assert set(got) == {*range(25), 90}
+    for r in got.values():
+        assert r.n == 300 and [r.self_mean, r.self_max, r.self_min] == pytest.approx([sum(v) / 300, max(v), min(v)], abs=1e-6)
