@@ -32,6 +32,24 @@ def test_svd_is_numpy_s(sparse):
     assert np.allclose(v.T @ v, np.eye(4), atol=1e-8) and np.allclose(x @ v, s)
 
 
+@pytest.mark.parametrize("numbers", [4_000_000, 60])
+def test_latent_cosines_without_a_whole_matrix(spark, sparse, monkeypatch, numbers):
+    """Slices of two columns and of all give the cosines of numpy's standardised coordinates; no task or message has more columns than a slice."""
+    x, rows = sparse
+    monkeypatch.setattr(models, "SLICE", numbers)
+    monkeypatch.setattr(models, "BLOCK", 1)  # blocks of 16 rows
+    sent, once = [], models._gram_times
+    monkeypatch.setattr(models, "_gram_times", lambda r, q: sent.append(q.size) or once(r, q))
+    r = {i: (js, vs) for i, _, js, vs in rows.collect()}
+    pairs = spark.createDataFrame([(k, *r[2 * k], *r[2 * k + 1]) for k in range(20)], "id long, js1 array<int>, vs1 array<double>, js2 array<int>, vs2 array<double>")
+    got = {p.id: p.lsi for p in models.latent_cosines(pairs, 4).collect()}
+    c = x @ models.right_vectors(rows, 4)
+    z = (c - c.mean(0)) / c.std(0, ddof=1)
+    a, b = z[::2], z[1::2]
+    want = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    assert [got[k] for k in range(20)] == pytest.approx(want.tolist(), abs=1e-4) and max(sent) <= numbers
+
+
 def test_nmf_comes_near(sparse):
     x, rows = sparse
     w = {r.id: r.w for r in models.nmf(rows, 6, 12).collect()}
