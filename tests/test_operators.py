@@ -291,3 +291,15 @@ def test_edits_of_all_neighbours(spark, tmp_path, monkeypatch, block):
     assert set(got) == {*range(25), 90}
     for r in got.values():
         assert r.n == 300 and [r.self_mean, r.self_max, r.self_min] == pytest.approx([sum(v) / 300, max(v), min(v)], abs=1e-6)
+
+
+def test_keyword_sets_are_compared_once(spark, tmp_path, monkeypatch):
+    """Three components with equal keywords: the first is the topic, one set is written, and no table has a pair's words again with each word."""
+    rows = [(10 * c + k, 10 * c + k, 10 * c + k + 1, "red stone", "red stone", 1) for c in (1, 2, 3) for k in (0, 1)] + [(90, 90, 91, "blue sky", "green sky", 0)]
+    spark.createDataFrame(rows, "id long, qid1 long, qid2 long, question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
+    written, cut = [], graph_pairs.cut
+    monkeypatch.setattr(graph_pairs, "cut", lambda df: written.append(cut(df)) or written[-1])
+    got = {r["id"]: r.topic for r in graph_pairs.keyword_topics(spark, str(tmp_path)).collect()}
+    assert set(got.values()) == {"red_stone"} and len(got) == 7
+    assert not any({"both", "w"} <= set(t.columns) for t in written)
+    assert [[r.root for r in t.collect()] for t in written if "ws" in t.columns] == [[10]]

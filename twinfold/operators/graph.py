@@ -127,7 +127,8 @@ def connected(e: DataFrame, most: int = 60) -> DataFrame:
         large = u.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b"), "m").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        stars = cut(small.distinct())
+        old, stars = stars, cut(small.distinct())
+        drop_cut(old)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             roots = stars.select("b").distinct()

@@ -167,13 +167,15 @@ def keyword_topics(spark: SparkSession, d: str) -> DataFrame:
 
     A set can only be contained where its rarest word is: that word is the key of the join, and containment is tested on what meets.
     """
-    sets = cut(keyword_sets(spark, d))
-    df = pair_rows(spark, d).select("id", F.array_intersect("a", "b").alias("both"))
-    each = cut(df.select("id", "both", F.explode("both").alias("w")))
-    often = each.groupBy("w").agg(F.count("*").alias("n"))
+    sets = cut(keyword_sets(spark, d).groupBy("ws").agg(F.min("root").alias("root")))  # of equal sets only the first can be a topic
+    df = cut(pair_rows(spark, d).select("id", F.array_intersect("a", "b").alias("both")))
+    each = df.select("id", "both", F.explode("both").alias("w"))
+    often = cut(each.groupBy("w").agg(F.count("*").alias("n")))
     own = sets.select("root", "ws", F.explode("ws").alias("w")).join(often, "w").groupBy("root").agg(F.min(F.struct("n", "w"))["w"].alias("w"), F.first("ws").alias("ws"))
-    met = salted_join(each, own, ["w"], hubs(each, "w"), ["id"]).filter(F.size(F.array_intersect("both", "ws")) == F.size("ws"))
-    first = met.groupBy("id").agg(F.min_by(F.array_join("ws", "_"), "root").alias("topic"))
+    least = max(100.0, (often.agg(F.sum("n")).first()[0] or 0) * HEAVY_SHARE)
+    met = salted_join(each, own, ["w"], often.filter(F.col("n") > F.lit(least)).select("w"), ["id"])
+    held = met.filter(F.size(F.array_intersect("both", "ws")) == F.size("ws"))
+    first = held.groupBy("id").agg(F.min_by(F.array_join("ws", "_"), "root").alias("topic"))
     return carry_last(df.select("id").join(first, "id", "left"), ["id"], "topic", "carried", F.lit("default")).select("id", F.col("carried").alias("topic"))
 
 
