@@ -1,6 +1,7 @@
 """Operators without SQL against numpy, invariants and brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -169,3 +170,25 @@ def test_vectors_of_odd_texts(spark):
     w = {r.id: r for r in embed.word_by_word_features(df, table).collect()}
     assert w[2].sim_mean == -1 == w[3].relaxed_distance == w[5].sim_max and w[4].sim_mean == 0.5 and w[4].self1_mean == 1 and w[1].self1_mean == -1
     assert embed.compared(df.limit(0), table).count() == 0 == embed.word_by_word_features(df.limit(0), table).count()
+
+
+def test_fuzzy_rows_are_those_of_single_pairs(monkeypatch):
+    """Compared together as pair by pair: texts of odd letters, around 64 characters, equal, empty and very long ones; difflib is left to the last."""
+    from twinfold.operators import blocks
+
+    rng = random.Random(6)
+    words = ["ab", "abc", "b", "cab?", "é", "\U0001f600x", "the", "the", "A1!"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pairs = [(text(rng.choice([0, 1, 2, 9, 15, 17, 20, 40])), text(rng.choice([0, 1, 2, 9, 15, 17, 20, 40]))) for _ in range(150)] + [("", ""), ("?", "?"), ("same text", "same text"), ("x" * 70, "x" * 130), (text(450), text(5))]
+    rows = [(k, s.lower(), t.lower(), re.sub(r"[!?]", "", s.lower()).split(), re.sub(r"[!?]", "", t.lower()).split()) for k, (s, t) in enumerate(pairs)]
+    want = []
+    for _, s, t, a, b in rows:
+        base, one, two = vectors._sorted_sides(a, b)
+        sort, most = vectors._ratio(" ".join(sorted(a)), " ".join(sorted(b))), max(vectors._ratio(base, one), vectors._ratio(base, two), vectors._ratio(one, two))
+        c = vectors._common_substring(s, t)
+        want.append((vectors._ratio(s, t), vectors._partial(s, t), sort, most, c, vectors._bleu(a, b, 1), vectors._bleu(a, b, 2), vectors._packed_distance(s, t), *vectors.fuzzy_ratios(s, t), c / max(len(s), len(t), 1)))
+    calls, real = [], blocks.difflib.SequenceMatcher
+    monkeypatch.setattr(blocks.difflib, "SequenceMatcher", lambda *x, **y: calls.append(x) or real(*x, **y))
+    got = vectors.fuzzy_rows(rows)
+    assert [(*r[1:9], *r[11:]) for r in got] == want and len(calls) < 30
+    assert got[152][9:11] == (0, 0) and all(0 <= r[9] <= 64 and 0 <= r[10] <= 64 for r in got)

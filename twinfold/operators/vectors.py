@@ -5,12 +5,17 @@ from __future__ import annotations
 import difflib
 import lzma
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinfold.operators.blocks import compared
 from twinfold.operators.corpus import heavy_words
 from twinfold.operators.pairs import PAIR_SQL, pair_rows
 from twinfold.operators.skew import salted_join
@@ -34,8 +39,6 @@ def _sum(e: str) -> str:
 
 
 def _list_sum(e: str) -> str:
-    import re
-
     return f"list_sum(list_transform(range(1, len(x) + 1), lambda i: CAST({re.sub(r'\bt\b', 'y[i]', re.sub(r'\bs\b', 'x[i]', e))} AS DOUBLE)))"
 
 
@@ -140,9 +143,12 @@ def _bleu(a: list, b: list, n: int) -> float:
     return math.exp(total / n) * min(1.0, math.exp(1 - len(b) / len(a)))
 
 
+_ALNUM = re.compile(r"[^\W_]+")
+
+
 def _plain(t: str) -> str:
     """Letters and digits in lower case, single blanks."""
-    return " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    return " ".join(_ALNUM.findall(t.lower()))
 
 
 def fuzzy_ratios(s: str, t: str) -> tuple[float, float, float, float]:
@@ -186,28 +192,130 @@ def _threes(tokens: list) -> list[str]:
 FUZZY = "id long, ratio double, partial_ratio double, token_sort_ratio double, token_set_ratio double, common_substring int, bleu1 double, bleu2 double, packed_distance double, simhash_distance int, simhash3_distance int, q_ratio double, partial_token_sort_ratio double, partial_token_set_ratio double, w_ratio double, common_substring_ratio double"
 
 
+def _sorted_sides(a: list, b: list) -> tuple[str, str, str]:
+    """Words of both, and these with the other words of each, in their order."""
+    x, y = set(a), set(b)
+    both = sorted(x & y)
+    return " ".join(both), " ".join(both + sorted(x - y)), " ".join(both + sorted(y - x))
+
+
+def _bleus(a: list, b: list) -> tuple[float, float]:
+    """``_bleu`` of single words, and of words and pairs of them."""
+    if not len(a) or not len(b):
+        return 0.0, 0.0
+    less, total, out = min(1.0, math.exp(1 - len(b) / len(a))), 0.0, [0.0, 0.0]
+    for k, (x, y) in enumerate(((a, b), (list(zip(a, a[1:])), list(zip(b, b[1:]))))):
+        own = set(x)
+        if len(own) == len(x):
+            hit = len(own.intersection(y))
+        else:
+            n, m = Counter(x), Counter(y)
+            hit = sum(min(v, m[g]) for g, v in n.items())
+        if not hit:
+            break
+        total += math.log(hit / len(x))
+        out[k] = math.exp(total / (k + 1)) * less
+    return out[0], out[1]
+
+
+def _simhashes(lists: list[list]) -> np.ndarray:
+    """A row of 64 bits for every list of words: those set in more than half of its words' hashes."""
+    import xxhash
+
+    code: dict[str, int] = {}
+    codes = np.array([code.setdefault(w, len(code)) for t in lists for w in t], np.int64)
+    h = np.array([xxhash.xxh64_intdigest(w) for w in code], np.uint64)
+    bits = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int32)
+    n = np.array([len(t) for t in lists], np.int64)
+    sums = np.zeros((len(lists), 64), np.int32)
+    if len(codes):
+        sums[n > 0] = np.add.reduceat(bits[codes], (np.cumsum(n) - n)[n > 0])
+    return sums * 2 > n[:, None]
+
+
+def _packed_distances(pairs: list[tuple[str, str]]) -> list[float]:
+    sizes: dict[str, int] = {}
+
+    def size(t: str) -> int:
+        if t not in sizes:
+            sizes[t] = len(lzma.compress(t.encode(), lzma.FORMAT_RAW, filters=_LZMA)) or 1
+        return sizes[t]
+
+    return [(size(a + b) - min(x, y)) / max(x, y) for a, b in pairs for x, y in [(size(a), size(b))]]
+
+
+class _Ratios:
+    """Ratios of pairs of texts, noted first and then compared together; each pair once."""
+
+    def __init__(self):
+        self.number: dict[tuple[str, str], int] = {}
+        self.partial: list[bool] = []
+
+    def note(self, a: str, b: str, partial: bool = False) -> int:
+        k = self.number.setdefault((a, b), len(self.number))
+        if k == len(self.partial):
+            self.partial.append(False)
+        self.partial[k] |= partial
+        return k
+
+    def note_partial(self, a: str, b: str) -> int:
+        return self.note(*((a, b) if len(a) <= len(b) else (b, a)), True)
+
+    def compare(self) -> None:
+        self.ratio, self.common, self.part = compared(list(self.number), self.partial)
+
+
+def _of_set(base: str, one: str, two: str, noted: float) -> float:
+    """Best ratio of any two; ``base`` begins both others, so it is a block as a whole."""
+    return max(2.0 * len(base) / (len(base) + len(one)), 2.0 * len(base) / (len(base) + len(two)), noted) if base else noted
+
+
+def fuzzy_rows(rows: list[tuple]) -> list[tuple]:
+    """Rows of FUZZY for rows (id, s, t, a, b), compared together. Equal to ``_ratio``, ``_partial`` and the others pair by pair."""
+    r, noted = _Ratios(), []
+    for _, s, t, a, b in rows:
+        base, one, two = _sorted_sides(a, b)
+        x, y = _plain(s), _plain(t)
+        k = [r.note(s, t), r.note_partial(s, t), r.note(" ".join(sorted(a)), " ".join(sorted(b))), r.note(one, two)]
+        if x and y:
+            c, d = x.split(), y.split()
+            xs, ys = " ".join(sorted(c)), " ".join(sorted(d))
+            sides = _sorted_sides(c, d)
+            near = max(len(x), len(y)) / min(len(x), len(y)) < 1.5
+            k += [r.note(x, y), r.note_partial(xs, ys), None if sides[0] else r.note_partial(*sides[1:]), near]
+            k += [r.note(xs, ys), r.note(*sides[1:])] if near else [r.note_partial(x, y), None]
+        else:
+            sides = None
+        noted.append(((base, one, two), sides, k))
+    r.compare()
+    hashes = [(_simhashes([f(q[3]) for q in rows]) != _simhashes([f(q[4]) for q in rows])).sum(1) for f in (list, _threes)]
+    out = []
+    for n, ((i, s, t, a, b), (own, sides, k), packed) in enumerate(zip(rows, noted, _packed_distances([q[1:3] for q in rows]))):
+        quick = part_sort = part_set = weighted = 0.0
+        if sides:
+            quick, part_sort, part_set = r.ratio[k[4]], r.part[k[5]], 1.0 if sides[0] else r.part[k[6]]
+            if k[7]:
+                weighted = max(quick, 0.95 * r.ratio[k[8]], 0.95 * _of_set(*sides, r.ratio[k[9]]))
+            else:
+                x, y = _plain(s), _plain(t)
+                less = 0.9 if max(len(x), len(y)) / min(len(x), len(y)) <= 8 else 0.6
+                weighted = max(quick, less * r.part[k[8]], 0.95 * less * part_sort, 0.95 * less * part_set)
+        common = int(r.common[k[0]])
+        out.append((i, r.ratio[k[0]], r.part[k[1]], r.ratio[k[2]], _of_set(*own, r.ratio[k[3]]), common, *_bleus(a, b), packed, int(hashes[0][n]), int(hashes[1][n]), quick, part_sort, part_set, weighted, common / max(len(s), len(t), 1)))
+    return out
+
+
 def fuzzy(df: DataFrame) -> DataFrame:
     """Fuzzy similarities of (id, s, t, a, b): texts in lower case and their tokens, in Arrow batches."""
-    import xxhash
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32()}.get(k, pa.float64())) for n, k in (x.split() for x in FUZZY.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(b.column(n).to_pylist() for n in ("id", "s", "t", "a", "b"))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*fuzzy_rows(rows)), schema)], schema=schema)
 
-    def simhash(tokens: list) -> np.ndarray:
-        if not len(tokens):
-            return np.zeros(64, bool)
-        h = np.array([xxhash.xxh64_intdigest(w) for w in tokens], np.uint64)
-        bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-        return bits.sum(0) * 2 > len(tokens)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for i, s, t, a, b in zip(pdf["id"], pdf["s"], pdf["t"], pdf["a"], pdf["b"]):
-                x, y = sorted(a), sorted(b)
-                both, xs, ys = sorted(set(a) & set(b)), sorted(set(a) - set(b)), sorted(set(b) - set(a))
-                base, one, two = " ".join(both), " ".join(both + xs), " ".join(both + ys)
-                out.append((i, _ratio(s, t), _partial(s, t), _ratio(" ".join(x), " ".join(y)), max(_ratio(base, one), _ratio(base, two), _ratio(one, two)), _common_substring(s, t), _bleu(a, b, 1), _bleu(a, b, 2), _packed_distance(s, t), int((simhash(a) != simhash(b)).sum()), int((simhash(_threes(a)) != simhash(_threes(b))).sum()), *fuzzy_ratios(s, t), _common_substring(s, t) / max(len(s), len(t), 1)))
-            yield pd.DataFrame(out, columns=["id", "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "common_substring", "bleu1", "bleu2", "packed_distance", "simhash_distance", "simhash3_distance", "q_ratio", "partial_token_sort_ratio", "partial_token_set_ratio", "w_ratio", "common_substring_ratio"])
-
-    return df.mapInPandas(run, FUZZY)
+    return df.mapInArrow(run, FUZZY)
 
 
 @query()
