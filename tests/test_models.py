@@ -125,6 +125,46 @@ def test_walks_follow_edges(spark):
     assert len({w[1] for w in walks if w[0] == 1} | {w[3] for w in walks}) > 5
 
 
+def test_walk_vectors_of_whole_components(spark, monkeypatch):
+    """Every node has a vector, whatever the size of its component; nodes of one ring are nearer to each other than to the other ring's; no vocabulary on the driver."""
+    from twinfold.operators import walks
+
+    ring = lambda lo, n: [(lo + k, lo + (k + j) % n) for k in range(n) for j in (1, 2, 3)]
+    e = [(min(p), max(p)) for p in ring(0, 40) + ring(100, 40)] + [(1000 + 2 * k, 1001 + 2 * k) for k in range(30)]
+    df = spark.createDataFrame(e, "src long, dst long")
+    g = walks.Graph(*np.array(e).T)
+    near = {(g.ids[u], v) for u in range(len(g.ids)) for v in g.ids[g.near[g.start[u] : g.start[u] + g.size[u]]]}
+    assert near == {p for a, b in e for p in ((a, b), (b, a))}
+    w = g.ids[g.walks(0, len(g.ids), 6, 3)]
+    assert len(w) == 3 * len(g.ids) and all((a, b) in near for r in w for a, b in zip(r, r[1:]))
+
+    def larger(edges):
+        asked.append(sorted(tuple(r) for r in edges.collect()))
+        return spark.createDataFrame([(n, [3.0, n % 2 * 4.0]) for n in {n for p in asked[-1] for n in p}], "node long, v array<double>")
+
+    x = walks.node_vectors(g, 6, 3, 16)
+    far = lambda a, b: np.mean([np.linalg.norm(p - q) for p in x[a : a + 40] for q in x[b : b + 40]])
+    assert np.isfinite(x).all() and max(far(0, 0), far(40, 40)) < 0.9 * far(0, 40)
+    for most, own in ((2_000_000, 50_000), (200, 100), (100, 50)):
+        monkeypatch.setattr(walks, "MOST_EDGES", most), monkeypatch.setattr(walks, "OWN_EDGES", own)
+        asked = []
+        got = {(r.src, r.dst): r.distance for r in walks.edge_distances(df, 6, 3, 16, larger, True).collect()}
+        assert set(got) == {*e, *((n, n) for n in g.ids)} and all(v >= 0 for v in got.values())
+        assert asked == ([sorted(p for p in e if p[0] < 1000)] if most == 100 else [])
+        if most > 200:
+            at = {n: k for k, n in enumerate(g.ids)}
+            assert all(v == pytest.approx(np.linalg.norm(x[at[a]] - x[at[b]]) if a != b else np.linalg.norm(x[at[a]]), abs=1e-5) for (a, b), v in got.items())
+        elif most == 100:
+            assert got[0, 1] == 4 and got[0, 2] == 0 and got[1, 1] == 5 and got[0, 0] == 3
+
+
+def test_walk_distance_of_odd_pairs(spark, tmp_path):
+    """Equal and missing questions beside pairs: a row each; a missing one is at zero."""
+    spark.createDataFrame([(1, 10, 11), (2, 11, 10), (3, 10, 10), (4, None, 10), (5, None, None), (6, 99, None)], "id long, qid1 long, qid2 long").write.parquet(f"{tmp_path}/train.parquet")
+    got = {r["id"]: r.distance for r in models.pair_walk_distance(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6} and got[1] == got[2] > 0 and got[4] > 0 and got[3] == got[5] == got[6] == 0
+
+
 def test_saved_models(spark):
     from twinfold.operators import files
 
