@@ -112,6 +112,17 @@ def test_word_vectors(spark):
     assert len(g) > 100 and all(v.shape == (16,) and np.isfinite(v).all() for v in g.values())
 
 
+def test_factorisation_in_bounded_blocks(spark, monkeypatch):
+    """Blocks grow with the entries, to a bound; nothing between the steps is kept in memory."""
+    for entries, blocks in ((0, 10), (30_000_001, 11), (10**9, models.MOST_BLOCKS)):
+        a = models.als(entries)
+        assert a.getNumUserBlocks() == a.getNumItemBlocks() == blocks
+        assert a.getIntermediateStorageLevel() == a.getFinalStorageLevel() == "DISK_ONLY"
+    asked, als = [], models.als
+    monkeypatch.setattr(models, "als", lambda n: asked.append(n) or als(n))
+    assert models.glove_vectors(spark, SMALL).count() > 100 and asked[0] > 1000
+
+
 def test_walks_follow_edges(spark):
     e = [(1, k) for k in range(2, 40)] + [(2, 3), (50, 51)]
     u = graph.both_ways(spark.createDataFrame(e, "src long, dst long"))
