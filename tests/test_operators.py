@@ -4,6 +4,7 @@ import statistics
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,6 +299,46 @@ def test_edit_distances_of_many_pairs():
     assert edits.edit_distances(edits.Texts(texts), a, b).tolist() == [_levenshtein(texts[i], texts[j]) for i, j in zip(a, b)]
 
 
+def test_edit_distances_of_lanes(monkeypatch):
+    """Texts that begin alike share cells: the distances are the same, whatever the strips, and so are the sums of cells of two blocks or of one."""
+    from twinfold.operators import edits
+
+    monkeypatch.setattr(edits, "LANES", 64)
+    monkeypatch.setattr(edits, "STEP", 50)
+    rng = random.Random(10)
+    texts = sorted({"", "a", "stone", *(("", "what is ", "stone river ")[n % 3] + "".join(rng.choice("ab c9") for _ in range(rng.randrange(1 + n))) for n in range(150))})
+    want = [[_levenshtein(x, y) for y in texts] for x in texts]
+    for strip in (1, 8, 16):
+        monkeypatch.setattr(edits, "STRIP", strip)
+        number, d = edits.lane_distances(edits.Lanes(texts), texts)
+        assert sorted(number) == list(range(len(texts))) and d.tolist() == [want[k] for k in number]
+    c = [1 + k % 2 for k in range(len(texts))]
+    cut = len(texts) // 3
+    for i, j, pairs in ((0, 0, [(x, y) for y in range(len(texts)) for x in range(y)]), (0, 1, [(x, y) for x in range(cut) for y in range(cut, len(texts))])):
+        own = [int(j and k >= cut) for k in range(len(texts))]
+        cell = pa.table({"node": [7] * len(texts), "i": [i] * len(texts), "j": [j] * len(texts), "own": own, "s": texts, "c": c})
+        got = edits.edit_of_cell(cell).to_pylist()[0]
+        v = [want[x][y] / max(len(texts[x]), len(texts[y])) for x, y in pairs]
+        assert got == {"node": 7, "total": pytest.approx(sum(a * c[x] * c[y] for a, (x, y) in zip(v, pairs))), "most": max(v), "least": min(v) if j else 0.0}
+
+
+def test_large_nodes_are_cut_into_few_blocks(spark, tmp_path, monkeypatch):
+    """A node's cells take a partition each or so, whatever their bytes, and a text isn't sent to more blocks than its node needs."""
+    monkeypatch.setattr(graph_pairs, "EDIT_BLOCK", 4)
+    monkeypatch.setattr(graph_pairs, "EDIT_BLOCKS", 3)
+    monkeypatch.setattr(graph_pairs, "EDIT_SIDE", 20)
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abc") for _ in range(9)) for _ in range(50)]
+    spark.createDataFrame([(k, 1, 100 + k, "first text", x) for k, x in enumerate(texts)], "id long, qid1 long, qid2 long, question1 string, question2 string").write.parquet(f"{tmp_path}/train.parquet")
+    seen, cut = [], graph_pairs.cut
+    monkeypatch.setattr(graph_pairs, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    out = graph_pairs.neighbour_edit_self(spark, str(tmp_path))
+    v = [_levenshtein(x, y) / 9 for k, x in enumerate(texts) for y in texts[:k]]
+    assert {(r.n, r.self_mean) for r in out.collect()} == {(1225, round(sum(v) / 1225, 7))}
+    assert [r.blocks for t in seen if "blocks" in t.columns for r in t.collect()] == [3]
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_edits_of_all_neighbours(spark, tmp_path, monkeypatch, block):
     """25 neighbours, equal texts among them: no number of neighbours is left out, in one task or in cells."""
